@@ -345,7 +345,7 @@ def trajectories(
     scanned = _scan(rows, TRIAL, only=F.col("__high") - F.col("__low") >= F.lit(BLOCK))
 
     low = F.greatest(F.col("bin"), origin)
-    high = F.coalesce(F.col("__next") - F.lit(1), F.col("bin"))
+    high = F.coalesce(F.col("__next") - F.lit(1), F.col("__high"))
     runs = scanned.withColumns({"__at_low": low, "__at_high": high}).filter(F.col("__at_low") <= F.col("__at_high"))
     runs = runs.withColumn("__at_high", _checked_span(F.col("__at_high"), F.col("__at_low"), max_bins))
     grid = _spread(runs, F.col("__at_low"), F.col("__at_high"))

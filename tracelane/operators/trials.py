@@ -138,11 +138,14 @@ def object_choice_from_events(events: DataFrame, durations: DataFrame) -> DataFr
     )
 
 
-def attach_choice(aligned: DataFrame, choices: DataFrame) -> DataFrame:
-    """Aligned events with the outcome of their trial (joined on trial and referent side)."""
-    return salted_left_join(
-        aligned, choices, [*TRIAL, "refpos"], ["seq"], hot_keys(aligned, [*TRIAL, "refpos"]), null_safe=True
-    )
+def attach_choice(aligned: DataFrame, choices: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Aligned events with the outcome of their trial (joined on trial and referent side).
+
+    ``events``: the rows ``aligned`` was made from, on which heavy trials are cheaper to count.
+    """
+    keys = [*TRIAL, "refpos"]
+    hot = hot_keys(aligned if events is None else events, keys)
+    return salted_left_join(aligned, choices, keys, ["seq"], hot, null_safe=True)
 
 
 # client columns are reported as they stand on a trial's first row

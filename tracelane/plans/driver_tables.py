@@ -9,6 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelane.operators.quality import (
+    Thresholds,
+    attach_questionnaire,
+    attach_side_bias,
+    attach_worker,
+    participant_inclusion,
+    participant_info,
+)
+from tracelane.operators.resample import trajectories
+from tracelane.operators.trials import attention_score, side_bias, trial_info
+
 # fixed values of the mapping
 EPOCH_DAY = "2024-01-01"
 WEEK_MS = 604_800_000
@@ -118,11 +129,47 @@ def model_questionnaire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One submission per order."""
+    """One submission per order; workers submit anything from once to several times."""
     orders = table(spark, sf_dir, "orders")
+    worker = F.col("o_custkey") * 10 + F.month("o_orderdate") % 10
     return orders.select(
-        F.concat(F.lit("W"), F.col("o_custkey").cast("string")).alias("mturk_id"),
+        F.concat(F.lit("W"), worker.cast("string")).alias("mturk_id"),
         F.col("o_orderkey").alias("seq"),
         F.concat(F.lit("mtrack_loy "), F.col("o_orderstatus")).alias("batch"),
-        F.col("o_orderpriority").alias("comments"),
+        F.concat_ws(" ", "o_orderpriority", (F.col("o_orderkey") % 16).cast("string")).alias("comments"),
+    )
+
+
+# settings that give every outcome on this data (the study's own would mark everyone invalid)
+EARLY_CODES = "URGENT [37]"
+LANGUAGE_GROUPS = {"BUILDING": "Monolingual", "FURNITURE": "Monolingual", "MACHINERY": "Bilingual"}
+THRESHOLDS = Thresholds(
+    min_trials=5, min_critical=3, min_attention=0.5, max_early_percent=60, min_left=0.1, max_left=0.9
+)
+
+
+def model_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_score(with_attention_trials(model_events(spark, sf_dir)))
+
+
+def model_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trial facts with the participant's attention score."""
+    events = with_client_columns(model_events(spark, sf_dir))
+    trials = trial_info(events, model_durations(spark, sf_dir))
+    score = model_attention(spark, sf_dir).select("participant", "att_check")
+    return trials.join(score, "participant", "left")
+
+
+def model_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Participants with attention score, side bias, language group, worker id and inclusion."""
+    ppt = participant_info(model_trials(spark, sf_dir))
+    ppt = attach_side_bias(ppt, side_bias(model_events(spark, sf_dir)))
+    questions = model_questionnaire(spark, sf_dir)
+    ppt = attach_questionnaire(ppt, questions, LANGUAGE_GROUPS)
+    return participant_inclusion(attach_worker(ppt, questions), THRESHOLDS)
+
+
+def model_trajectories(spark: SparkSession, sf_dir: str, fill_scope: str = "trial") -> DataFrame:
+    return trajectories(
+        model_events(spark, sf_dir), model_durations(spark, sf_dir), BIN_MS, fill_scope
     )
