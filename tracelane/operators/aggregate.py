@@ -305,14 +305,14 @@ def lag1_autocorr(df: DataFrame, keys: list[str], order: str, col: str, size: in
     first_of_block = F.row_number().over(w) == 1
     prev = F.when(first_of_block, F.col("__c_prev")).otherwise(F.lag(col).over(w))
     pairs = linked.select(*keys, F.col(col).cast("double").alias("__a"), prev.cast("double").alias("__b"))
-    return pairs.groupBy(*keys).agg(F.corr("__a", "__b").alias("autocorr"))
+    return pairs.groupBy(*keys).agg(_correlation("__a", "__b").alias("autocorr"))
 
 
-def autocorr_overall(df: DataFrame, keys: list[str], order: str, col: str, size: int = BLOCK) -> DataFrame:
-    """``lag1_autocorr`` pooled over all series (pairs never cross a series)."""
-    rows = step_features(df.select(*keys, order, col), keys, order, col, size)
-    prev = F.col(col) - F.col("step")
-    return rows.agg(F.corr(F.col(col).cast("double"), prev.cast("double")).alias("autocorr"))
+def _correlation(a: str, b: str) -> Column:
+    """Correlation over complete pairs; null (not an error) when one side does not vary."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def step_features(df: DataFrame, keys: list[str], order: str, x: str, size: int = BLOCK) -> DataFrame:

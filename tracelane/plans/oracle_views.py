@@ -36,7 +36,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN k % 5 = 0 THEN 'background' WHEN k % 5 <= 2 THEN 'image-left' ELSE 'image-right' END AS layer,
         CASE WHEN et <> 'view' THEN CAST(CAST(round(value * 100) AS BIGINT) - 2000 AS DOUBLE) END AS x,
         CASE WHEN et <> 'view' THEN CAST(k * 7 AS DOUBLE) END AS y,
-        CAST(epoch_ms(ts) - (1704067200000 + wk * 604800000) AS DOUBLE) AS elapsed,
+        CAST(epoch_us(ts) // 1000 - (1704067200000 + wk * 604800000) AS DOUBLE) AS elapsed,
         1704067200000 + wk * 604800000 AS trial_start
         FROM (SELECT *,
           CASE (participant + wk) % 3 WHEN 0 THEN 'Fluent' WHEN 1 THEN 'Disfluent' ELSE 'Filler' END AS cond,

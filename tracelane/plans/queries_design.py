@@ -59,7 +59,7 @@ SHUFFLED = f"""labelled AS (SELECT "group" || '_' || j AS list, trial, condition
 withchecks AS (SELECT * FROM labelled UNION ALL SELECT list, a.trial, 'attention' FROM
     (SELECT DISTINCT list FROM labelled) CROSS JOIN (VALUES ('att1'), ('att2'), ('att3'), ('att4')) a(trial)),
 shuffled AS (SELECT list, trial, condition, row_number() OVER (PARTITION BY list
-    ORDER BY md5('{SEED}:' || list || ':' || trial || ':' || condition), trial, condition) AS position,
+    ORDER BY md5('{SEED}:' || list || ':' || trial), trial) AS position,
     trial || ':' || CASE WHEN condition = 'attention' THEN '' ELSE list END || condition AS line FROM withchecks)"""
 
 
