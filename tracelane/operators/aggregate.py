@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelane.functions import if_else, ordered_concat, ordered_list, strict_avg
-from tracelane.operators.skew import BLOCK, attach_group_facts, blocked, carried
+from tracelane.operators.skew import attach_group_facts, blocked, carried
 
 
 def to_long(
@@ -281,10 +281,10 @@ def mark_duplicates(df: DataFrame, col: str, seq: str, name: str = "duplicate")
 
 
 def zscore(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
-    """Standardise over all rows; the two moments come as scalars, not through a global window."""
-    mean = df.agg(F.avg(col).alias("m")).scalar()
-    spread = df.agg(F.stddev_samp(col).alias("s")).scalar()
-    return df.withColumn(name or f"{col}_z", (F.col(col) - mean) / spread)
+    """Standardise over all rows; both moments come as one scalar struct, not through a global window."""
+    moments = df.agg(F.struct(F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd")).alias("s")).scalar()
+    spread = F.nullif(moments["sd"], F.lit(0.0))
+    return df.withColumn(name or f"{col}_z", (F.col(col) - moments["mean"]) / spread)
 
 
 def series_start(df: DataFrame, keys: list[str], order: str, name: str = "start_event") -> DataFrame:
@@ -293,7 +293,7 @@ def series_start(df: DataFrame, keys: list[str], order: str, name: str = "start_
     return marked.withColumn(name, F.col(order) == F.col("__first")).drop("__first")
 
 
-def lag1_autocorr(df: DataFrame, keys: list[str], order: str, col: str, size: int = BLOCK) -> DataFrame:
+def lag1_autocorr(df: DataFrame, keys: list[str], order: str, col: str, size: int | None = None) -> DataFrame:
     """Correlation of each value with its predecessor, per series; ``order`` is an integer column."""
     rows = blocked(df.select(*keys, order, col), keys, F.col(order), size)
     w = Window.partitionBy(*keys, "__block").orderBy(order)
@@ -315,7 +315,7 @@ def _correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def step_features(df: DataFrame, keys: list[str], order: str, x: str, size: int = BLOCK) -> DataFrame:
+def step_features(df: DataFrame, keys: list[str], order: str, x: str, size: int | None = None) -> DataFrame:
     """Signed step to the previous row, and the running sum of absolute steps, per group.
 
     ``order`` is an integer column.  The first row of a group has neither; an unknown step makes all later

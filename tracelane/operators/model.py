@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelane.functions import code_values, elog, level_code, matches, move_category
 from tracelane.operators.aggregate import _mean, _stack, _with_interval, zscore
+from tracelane.operators.skew import checkpointed
 
 # fixed values: contrast of the condition, order of the movement categories
 FLUENCY_CODES = {"Fluent": -0.5, "Disfluent": 0.5}
@@ -40,7 +41,8 @@ def model_frame(
 ) -> DataFrame:
     """Rows and columns the growth-curve model is fitted on.
 
-    Time is standardised over the whole selected data *before* late rows are dropped.
+    Time is standardised over the whole selected data *before* late rows are dropped.  The selection is read
+    for the moments, for the frame and again by every estimate on it, so it is checkpointed once.
     """
     chosen = binned.filter(
         (F.col("include_ppt") == "valid")
@@ -48,6 +50,8 @@ def model_frame(
         & (F.col("duplicate2") == "n-dup")
         & matches("bilingual", "No")
     )
+    needed = ["participant", "trial", "condition", "cohort", "bin", "time", "refprop", "disprop"]
+    chosen = checkpointed(chosen.select(*[c for c in needed if c in chosen.columns]))
     timed = chosen.withColumn("time_s", F.col("time") / F.lit(1000.0))
     named = zscore(timed, "time_s", "time_z").filter(F.col("time_s") <= max_seconds)
     framed = bias_columns(named, mode).withColumn("fluency_c", code_values("condition", codes))

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelane.functions import if_else, to_bin
+from tracelane.functions import to_bin
+from tracelane.operators import skew
 from tracelane.operators.skew import (
-    BLOCK,
     blocked,
     carried,
     hot_keys,
@@ -54,8 +54,9 @@ def bin_mean(
 
 def _spread(df: DataFrame, low: Column, high: Column) -> DataFrame:
     """One row per bin of ``low..high`` (as ``__at``), built from arrays of bounded length."""
-    pieces = df.withColumn("__from", F.explode(F.sequence(low, high, F.lit(BLOCK).cast("long"))))
-    last = F.least(F.col("__from") + F.lit(BLOCK - 1), high)
+    size = skew.BLOCK
+    pieces = df.withColumn("__from", F.explode(F.sequence(low, high, F.lit(size).cast("long"))))
+    last = F.least(F.col("__from") + F.lit(size - 1), high)
     return pieces.withColumn("__at", F.explode(F.sequence(F.col("__from"), last)))
 
 
@@ -158,10 +159,13 @@ def _observed_bins(timed: DataFrame, keys: list[str], step: int) -> DataFrame:
     return timed.groupBy(*keys, to_bin("time", step).alias("bin")).agg(*means)
 
 
-def _toward(step: str, left: bool) -> Column:
-    """Size of a step when it goes to the left (or right) side, else 0."""
-    s = F.col(step)
-    return if_else(s <= 0, -s, F.lit(0.0)) if left else if_else(s >= 0, s, F.lit(0.0))
+def _left(step: str) -> str:
+    """SQL: size of a step when it goes to the left, else 0 (null if unknown)."""
+    return f"(CASE WHEN {step} <= 0 THEN -{step} WHEN {step} > 0 THEN 0D END)"
+
+
+def _right(step: str) -> str:
+    return f"(CASE WHEN {step} >= 0 THEN {step} WHEN {step} < 0 THEN 0D END)"
 
 
 def _scan(rows: DataFrame, keys: list[str], only: Column | None = None) -> DataFrame:
@@ -172,105 +176,123 @@ def _scan(rows: DataFrame, keys: list[str], only: Column | None = None) -> DataF
     into the row, running totals of steps (all, to the left, to the right), the bin at which a position was
     first known, the next observed bin, and the group's first bin.
     """
-    order = Window.partitionBy(*keys, "__block").orderBy("bin")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    zero = F.lit(0.0)
-    counts, step = F.col("__counts"), F.col("__inner")
-    filled = rows.withColumns({f"__in_{v}": F.last(v, ignorenulls=True).over(so_far) for v in ("x", "y")})
-    inner = filled.withColumn("__lag", F.lag("__in_x").over(order)).withColumn(
-        "__inner", F.when(counts, F.col("__in_x") - F.col("__lag"))
-    )
-    has_x = F.col("x").isNotNull()
-    summary = [
-        F.min("bin").alias("__first"),
-        F.max_by("__in_x", "bin").alias("__end_x"),
-        F.max_by("__in_y", "bin").alias("__end_y"),
-        F.min_by("x", F.when(has_x, F.col("bin"))).alias("__start_x"),
-        F.min_by("__counts", F.when(has_x, F.col("bin"))).alias("__start_counts"),
-        F.min(F.when(has_x, F.col("bin"))).alias("__seen"),
-        F.max("__x0").alias("__from_x0"),
-        F.sum(F.abs(step)).alias("__s_all"),
-        F.sum(_toward("__inner", True)).alias("__s_left"),
-        F.sum(_toward("__inner", False)).alias("__s_right"),
-    ]
+    order = f"(PARTITION BY {', '.join(keys)}, __block ORDER BY bin)"
+    so_far = order[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    known_bin = "CASE WHEN x IS NOT NULL THEN bin END"
+
+    def columns(df: DataFrame, named: dict[str, str]) -> DataFrame:
+        return df.withColumns({name: F.expr(sql) for name, sql in named.items()})
+
+    filled = columns(rows, {f"__in_{v}": f"last({v}, true) OVER {so_far}" for v in ("x", "y")})
+    lagged = columns(filled, {"__lag": f"lag(__in_x) OVER {order}"})
+    inner = columns(lagged, {"__inner": "CASE WHEN __counts THEN __in_x - __lag END"})
+    summary = {
+        "__first": "min(bin)",
+        "__end_x": "max_by(__in_x, bin)",
+        "__end_y": "max_by(__in_y, bin)",
+        "__start_x": f"min_by(x, {known_bin})",
+        "__start_counts": f"min_by(__counts, {known_bin})",
+        "__seen": f"min({known_bin})",
+        "__from_x0": "max(__x0)",
+        "__s_all": "sum(abs(__inner))",
+        "__s_left": f"sum{_left('__inner')}",
+        "__s_right": f"sum{_right('__inner')}",
+    }
 
-    def carry(blocks: DataFrame, before, by_block) -> DataFrame:
-        came_from = F.last("__end_x", ignorenulls=True).over(before)
-        linked = blocks.withColumns(
+    def carry(blocks: DataFrame, _before, _by_block) -> DataFrame:
+        by_block = f"(PARTITION BY {', '.join(keys)} ORDER BY __block)"
+        before = by_block[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        linked = columns(
+            blocks,
             {
-                "__c_x": came_from,
-                "__c_y": F.last("__end_y", ignorenulls=True).over(before),
-                "__c_then": F.lead("__first").over(by_block),
-                "__c_first": F.min("__first").over(before),
-                "__c_seen": F.min("__seen").over(before),
-            }
-        ).withColumn(
-            "__jump",
-            F.when(
-                F.col("__start_counts"), F.col("__start_x") - F.coalesce(F.col("__c_x"), F.col("__from_x0"))
-            ),
+                "__c_x": f"last(__end_x, true) OVER {before}",
+                "__c_y": f"last(__end_y, true) OVER {before}",
+                "__c_then": f"lead(__first) OVER {by_block}",
+                "__c_first": f"min(__first) OVER {before}",
+                "__c_seen": f"min(__seen) OVER {before}",
+            },
         )
-        jumps = {"all": F.abs("__jump"), "left": _toward("__jump", True), "right": _toward("__jump", False)}
-        whole = {
-            k: F.coalesce(F.col(f"__s_{k}"), zero) + F.coalesce(jump, zero) for k, jump in jumps.items()
+        jump = "CASE WHEN __start_counts THEN __start_x - coalesce(__c_x, __from_x0) END"
+        linked = columns(linked, {"__jump": jump})
+        jumps = {"all": "abs(__jump)", "left": _left("__jump"), "right": _right("__jump")}
+        totals = {
+            f"__c_{k}": f"sum(coalesce(__s_{k}, 0D) + coalesce({v}, 0D)) OVER {before}" for k, v in jumps.items()
         }
-        return linked.withColumns({f"__c_{k}": F.sum(total).over(before) for k, total in whole.items()})
+        return columns(linked, totals)
 
-    linked = carried(inner, keys, summary, carry, only)
-    at_x = F.coalesce(F.col("__in_x"), F.col("__c_x"), F.col("__x0"))
-    prev = F.coalesce(F.col("__lag"), F.col("__c_x"), F.col("__x0"))
-    linked = linked.withColumns(
+    linked = carried(inner, keys, [F.expr(sql).alias(n) for n, sql in summary.items()], carry, only)
+    at_x, prev = "coalesce(__in_x, __c_x, __x0)", "coalesce(__lag, __c_x, __x0)"
+    linked = columns(
+        linked,
         {
             "__x": at_x,
-            "__y": F.coalesce(F.col("__in_y"), F.col("__c_y"), F.col("__y0")),
-            "__step": F.when(counts, at_x - prev),
-            "__next": F.coalesce(F.lead("bin").over(order), F.col("__c_then")),
-            "__start": F.coalesce(F.col("__c_first"), F.min("bin").over(so_far)),
-            "__seen": F.coalesce(F.col("__c_seen"), F.min(F.when(has_x, F.col("bin"))).over(so_far)),
-        }
+            "__y": "coalesce(__in_y, __c_y, __y0)",
+            "__step": f"CASE WHEN __counts THEN {at_x} - {prev} END",
+            "__next": f"coalesce(lead(bin) OVER {order}, __c_then)",
+            "__start": f"coalesce(__c_first, min(bin) OVER {so_far})",
+            "__seen": f"coalesce(__c_seen, min({known_bin}) OVER {so_far})",
+        },
     )
-    steps = {"all": F.abs("__step"), "left": _toward("__step", True), "right": _toward("__step", False)}
-    return linked.withColumns(
+    steps = {"all": "abs(__step)", "left": _left("__step"), "right": _right("__step")}
+    running = {
+        f"__{k}": f"sum(coalesce({v}, 0D)) OVER {so_far} + coalesce(__c_{k}, 0D)" for k, v in steps.items()
+    }
+    return columns(linked, running)
+
+
+_STEPS = ["distance_travelled", "ldist", "rdist", "ref_dist", "dis_dist"]
+_TOTALS = ["cumulative_distance", "ref_cdist", "dis_cdist", "refprop", "disprop"]
+
+
+def _row_features(scanned: DataFrame, origin: str) -> DataFrame:
+    """Features of the scanned rows, as they hold for a row that is not the first of its grid.
+
+    If no position is known where the grid starts (bin ``origin``), the first steps are unknown and with
+    them every running distance of the trial.
+    """
+    known = f"(coalesce(__seen <= {origin}, false) OR __x0 IS NOT NULL)"
+
+    def sided(to_left: str, to_right: str) -> str:
+        return f"CASE WHEN refpos = 'L' THEN {to_left} WHEN refpos <> 'L' THEN {to_right} END"
+
+    def share(part: str) -> str:
+        return f"CASE WHEN cumulative_distance = 0 THEN 0D ELSE {part} / cumulative_distance END"
+
+    levels = [
         {
-            f"__{k}": F.sum(F.coalesce(value, zero)).over(so_far) + F.coalesce(F.col(f"__c_{k}"), zero)
-            for k, value in steps.items()
-        }
-    )
+            "distance_travelled": "__step",
+            "ldist": _left("__step"),
+            "rdist": _right("__step"),
+            **{f"__{k}": f"CASE WHEN {known} THEN __{k} END" for k in ("all", "left", "right")},
+        },
+        {
+            "ref_dist": sided("ldist", "rdist"),
+            "dis_dist": sided("rdist", "ldist"),
+            "cumulative_distance": "__all",
+            "ref_cdist": sided("__left", "__right"),
+            "dis_cdist": sided("__right", "__left"),
+        },
+        {"refprop": share("ref_cdist"), "disprop": share("dis_cdist")},
+    ]
+    for level in levels:
+        scanned = scanned.withColumns({name: F.expr(sql) for name, sql in level.items()})
+    return scanned
 
 
-def _features(at: Column, origin: Column, step: Column) -> dict[str, Column]:
-    """Named features at grid bin ``at`` of a trial whose grid starts at bin ``origin``.
+def _grid_features(at: str, origin: str, moving: str = "true") -> list[Column]:
+    """Features at grid bin ``at``: 0 at time 0, unknown on a later first row, else those of the row.
 
-    The first grid row has no step.  If the position is not known there, the first steps are unknown and
-    with them every running distance of the trial.  At time 0 all distances are 0 by definition.
+    Where not ``moving`` the cursor rests at the row's position, so all steps are 0 if that is known.
     """
-    first, is_left = at == origin, F.col("refpos") == "L"
-    known = F.coalesce(F.col("__seen") <= origin, F.lit(False)) | F.col("__x0").isNotNull()
-
-    def distance(value: Column) -> Column:
-        return F.when(at == 0, F.lit(0.0)).when(~first, value)
-
-    def sided(to_left: Column, to_right: Column) -> Column:
-        return if_else(is_left, to_left, to_right)
-
-    left, right = if_else(step <= 0, -step, F.lit(0.0)), if_else(step >= 0, step, F.lit(0.0))
-    run = {k: F.when(known, F.col(f"__{k}")) for k in ("all", "left", "right")}
-    total = distance(run["all"])
-    ref_c = distance(sided(run["left"], run["right"]))
-    dis_c = distance(sided(run["right"], run["left"]))
-    return {
-        "x_step_end": F.when(~first, F.col("__x")),
-        "distance_travelled": distance(step),
-        "cumulative_distance": total,
-        "ldist": distance(left),
-        "rdist": distance(right),
-        "ref_dist": distance(sided(left, right)),
-        "dis_dist": distance(sided(right, left)),
-        "ref_cdist": ref_c,
-        "dis_cdist": dis_c,
-        "refprop": if_else(total == 0, F.lit(0.0), ref_c / total),
-        "disprop": if_else(total == 0, F.lit(0.0), dis_c / total),
-    }
+    rest = "CASE WHEN __x IS NOT NULL THEN 0D END"
+
+    def placed(value: str) -> str:
+        return f"CASE WHEN {at} = 0 THEN 0D WHEN {at} <> {origin} THEN {value} END"
+
+    sql = {"x_step_end": f"CASE WHEN {at} <> {origin} THEN __x END"}
+    sql |= {c: placed(c if moving == "true" else f"CASE WHEN {moving} THEN {c} ELSE {rest} END") for c in _STEPS}
+    sql |= {c: placed(c) for c in _TOTALS}
+    return [F.expr(sql[name]).alias(name) for name in FEATURES]
 
 
 def movement_features(binned: DataFrame, keys: list[str] = TRIAL) -> DataFrame:
@@ -282,9 +304,8 @@ def movement_features(binned: DataFrame, keys: list[str] = TRIAL) -> DataFrame:
     rows = blocked(binned, keys, F.col("bin")).withColumns(
         {"__counts": F.lit(True), "__x0": nothing, "__y0": nothing}
     )
-    scanned = _scan(rows, keys)
-    features = _features(F.col("bin"), F.col("__start"), F.col("__step"))
-    return scanned.select(*binned.columns, *[c.alias(name) for name, c in features.items()])
+    featured = _row_features(_scan(rows, keys), "__start")
+    return featured.select(*binned.columns, *_grid_features("bin", "__start"))
 
 
 def trajectories(
@@ -333,26 +354,25 @@ def trajectories(
     ]
     observed = placed.groupBy(*group, "__block", "bin").agg(*means, F.max("__high").alias("__high"))
 
-    origin = F.greatest(F.col("__low"), F.lit(0).cast("long"))
+    origin = "greatest(__low, 0L)"
     nothing = F.lit(None).cast("double")
-    rows = observed.withColumn("__counts", F.col("bin") > origin)
+    rows = observed.withColumn("__counts", F.expr(f"bin > {origin}"))
     if fill_scope == "participant":
         prior = _previous_values(observed, TRIAL, ["x", "y"])
         prior = prior.withColumnsRenamed({"__prior_x": "__x0", "__prior_y": "__y0"})
         rows = salted_left_join(rows, prior, TRIAL, ["bin"], hot_keys(observed, TRIAL))
     else:
         rows = rows.withColumns({"__x0": nothing, "__y0": nothing})
-    scanned = _scan(rows, TRIAL, only=F.col("__high") - F.col("__low") >= F.lit(BLOCK))
+    scanned = _scan(rows, TRIAL, only=F.col("__high") - F.col("__low") >= F.lit(skew.BLOCK))
 
-    low = F.greatest(F.col("bin"), origin)
-    high = F.coalesce(F.col("__next") - F.lit(1), F.col("__high"))
-    runs = scanned.withColumns({"__at_low": low, "__at_high": high}).filter(F.col("__at_low") <= F.col("__at_high"))
+    runs = _row_features(scanned, origin).withColumns(
+        {
+            "__at_low": F.expr(f"greatest(bin, {origin})"),
+            "__at_high": F.expr("coalesce(__next - 1, __high)"),
+        }
+    ).filter("__at_low <= __at_high")
     runs = runs.withColumn("__at_high", _checked_span(F.col("__at_high"), F.col("__at_low"), max_bins))
     grid = _spread(runs, F.col("__at_low"), F.col("__at_high"))
-    # within a run the cursor rests: the step is 0 where the position is known
-    resting = F.when(F.col("__x").isNotNull(), F.lit(0.0))
-    step_at = F.when(F.col("__at") == F.col("__at_low"), F.col("__step")).otherwise(resting)
-    features = _features(F.col("__at"), origin, step_at)
     return grid.select(
         *TRIAL,
         *constant,
@@ -360,5 +380,5 @@ def trajectories(
         (F.col("__at") * F.lit(step)).alias("time"),
         F.col("__x").alias("x"),
         F.col("__y").alias("y"),
-        *[c.alias(name) for name, c in features.items()],
+        *_grid_features("__at", origin, "__at = __at_low"),
     )

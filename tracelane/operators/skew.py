@@ -25,8 +25,11 @@ SLICES = 256  # sub-keys of a heavy key
 BLOCK = 65_536  # positions of an ordered group handled together
 
 
-def hot_keys(rows: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
-    """The (at most ``most``) keys with at least ``min_rows`` rows."""
+def hot_keys(
+    rows: DataFrame, keys: list[str], min_rows: int | None = None, most: int = HOT_KEYS
+) -> DataFrame:
+    """The (at most ``most``) keys with at least ``min_rows`` rows (default ``HOT_ROWS``)."""
+    min_rows = HOT_ROWS if min_rows is None else min_rows
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     top = counts.filter(F.col("__rows") >= min_rows).orderBy(F.desc("__rows"), *keys).limit(most)
     return top.select(*keys)
@@ -48,7 +51,7 @@ def salted_left_join(
     *,
     null_safe: bool = False,
     slices: int = SLICES,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = None,
     keep_slice: bool = False,
 ) -> DataFrame:
     """Left join of ``left`` to ``right`` with heavy keys of ``left`` spread by a hash of ``spread``.
@@ -93,8 +96,9 @@ def attach_group_facts(
     return salted_left_join(rows, facts, keys, spread, null_safe=True, **options)
 
 
-def blocked(rows: DataFrame, keys: list[str], position: Column, size: int = BLOCK) -> DataFrame:
-    """Add ``__block`` (``position`` div ``size``) and bring each block of a group together."""
+def blocked(rows: DataFrame, keys: list[str], position: Column, size: int | None = None) -> DataFrame:
+    """Add ``__block`` (``position`` div ``size``, default ``BLOCK``) and bring each block together."""
+    size = BLOCK if size is None else size
     return rows.withColumn("__block", F.floor(position / F.lit(size)).cast("long")).repartition(
         *keys, "__block"
     )

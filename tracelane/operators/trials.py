@@ -28,23 +28,37 @@ def is_click() -> Column:
     return F.col("event_type") == "click"
 
 
-def _last_click(value: str) -> Column:
+def _last_click(value: str | Column) -> Column:
     return last_where(value, is_click(), "seq")
 
 
+def _click_side_code() -> Column:
+    """Side of the last click as a number (0 none, 1 left, 2 right).
+
+    With numbers in its state the aggregate hashes; text would make Spark sort the raw events first.
+    """
+    side = click_side("layer")
+    code = F.when(side == "L", 1).when(side == "R", 2).otherwise(0)
+    return F.coalesce(_last_click(code), F.lit(0))
+
+
+def _side_name(code: str) -> Column:
+    return F.when(F.col(code) == 1, "L").when(F.col(code) == 2, "R").otherwise("none")
+
+
 def attention_score(events: DataFrame) -> DataFrame:
     """Number and share of attention trials answered on the correct side, per participant."""
     trials = (
         events.filter(F.col("condition") == "attention")
         .groupBy(*TRIAL)
         .agg(
-            _last_click("layer").alias("layer"),
-            first_where("image_right", None, "seq").alias("image_right"),
+            _click_side_code().alias("side"),
+            first_where(matches("image_right", "atta"), None, "seq").alias("animal_right"),
         )
     )
-    correct = F.when(matches("image_right", "atta"), "R").otherwise("L")
+    correct = F.when(F.col("animal_right"), 2).otherwise(1)
     return (
-        trials.withColumn("hit", click_side("layer") == correct)
+        trials.withColumn("hit", F.col("side") == correct)
         .groupBy("participant")
         .agg(F.count(F.lit(1)).alias("att_checkn"), share_where(F.col("hit")).alias("att_check"))
     )
@@ -61,15 +75,10 @@ def attach_attention(events: DataFrame, score: DataFrame) -> DataFrame:
 
 def side_bias(events: DataFrame) -> DataFrame:
     """Share of trials whose last click was on the left and on the right image."""
-    trials = events.groupBy(*TRIAL).agg(_last_click("layer").alias("layer"))
-    side = click_side("layer")
-    return (
-        trials.withColumn("side", side)
-        .groupBy("participant")
-        .agg(
-            share_where(F.col("side") == "L").alias("lside_clicks"),
-            share_where(F.col("side") == "R").alias("rside_clicks"),
-        )
+    trials = events.groupBy(*TRIAL).agg(_click_side_code().alias("side"))
+    return trials.groupBy("participant").agg(
+        share_where(F.col("side") == 1).alias("lside_clicks"),
+        share_where(F.col("side") == 2).alias("rside_clicks"),
     )
 
 
@@ -153,22 +162,26 @@ CLIENT = ("browser", "version", "os")
 
 
 def trial_info(events: DataFrame, durations: DataFrame, client: tuple[str, ...] = CLIENT) -> DataFrame:
-    """One row per trial: start, whether audio played, amount of movement, click time and choice."""
-    first = {"trial_condition": "condition", "refpos": "refpos", **{c: c for c in client}}
+    """One row per trial: start, whether audio played, amount of movement, click time and choice.
+
+    Condition and referent side are constant within a trial and serve as grouping columns; without client
+    columns the aggregate has a purely numeric state.
+    """
+    first = {c: c for c in client}
     if "att_check" in events.columns:
         first["att_check"] = "att_check"
     facts = (
-        events.groupBy(*TRIAL)
+        events.groupBy(*TRIAL, "condition", "refpos")
         .agg(
             first_where("trial_start", None, "seq").alias("trialstart"),
             any_equal("event_type", "playbackstart").alias("audio_played"),
             F.count_if(F.col("event_type") == "move").alias("datapoints"),
             first_where("elapsed", F.col("event_type") == "playbackstart", "seq").alias("audio1_start"),
             _last_click("elapsed").alias("click_elapsed"),
-            _last_click("layer").alias("clicked_lr"),
+            _click_side_code().alias("side"),
             *[first_where(source, None, "seq").alias(name) for name, source in first.items()],
         )
-        .withColumns({"item": F.col("trial"), "condition": F.col("trial_condition")})
+        .withColumn("item", F.col("trial"))
     )
     timed = attach_durations(facts, durations)
     clicktime = F.col("click_elapsed") - (F.col("audio1_start") + F.col("audio1_duration"))
@@ -179,8 +192,8 @@ def trial_info(events: DataFrame, durations: DataFrame, client: tuple[str, ...]
         "datapoints",
         clicktime.alias("clicktime"),
         *(["att_check"] if "att_check" in first else []),
-        object_chosen(click_side("clicked_lr"), "refpos").alias("clicked"),
-        "trial_condition",
+        object_chosen(_side_name("side"), "refpos").alias("clicked"),
+        F.col("condition").alias("trial_condition"),
         *client,
     )
 
