@@ -2,9 +2,10 @@
 
 Two situations occur throughout the library:
 
-* many rows pick up one row of facts per key (``salted_left_join``): rows of heavy keys are spread over
-  ``slices`` sub-keys and the matching fact row is copied to each of them.  The heavy-key list is a
-  bounded top-k of a narrow, map-side combined count, so broadcasting it is safe at any data size;
+* many rows pick up one row of facts per key (``salted_left_join``): rows of heavy keys are spread over as
+  many sub-keys as their number calls for and the matching fact row is copied to each of them.  The
+  heavy-key list is a bounded top-k of a narrow, map-side combined count, so broadcasting it is safe at
+  any data size;
 * rows are ordered inside a group (``carried``): a group is cut into blocks of its integer position, each
   block is scanned on its own, and what a block needs from its neighbours arrives through a
   one-row-per-block summary.  No task ever holds a whole group.
@@ -19,20 +20,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000  # rows of one key beyond which it is spread
-HOT_KEYS = 2_000  # at most this many keys are spread; any other key holds < 1/2000 of all rows
-SLICES = 256  # sub-keys of a heavy key
+HOT_ROWS = 2_000_000  # rows of one key beyond which it is spread, and rows per sub-key from there on
+HOT_KEYS = 100_000  # at most this many keys are spread; any other key holds < 1/100,000 of all rows
+NULL_SLICES = 65_536  # sub-keys over which rows with a null key are spread
 BLOCK = 65_536  # positions of an ordered group handled together
 
 
 def hot_keys(
     rows: DataFrame, keys: list[str], min_rows: int | None = None, most: int = HOT_KEYS
 ) -> DataFrame:
-    """The (at most ``most``) keys with at least ``min_rows`` rows (default ``HOT_ROWS``)."""
+    """The (at most ``most``) keys with at least ``min_rows`` rows (default ``HOT_ROWS``).
+
+    ``__slices`` is the number of sub-keys that gives each about ``min_rows`` rows.
+    """
     min_rows = HOT_ROWS if min_rows is None else min_rows
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     top = counts.filter(F.col("__rows") >= min_rows).orderBy(F.desc("__rows"), *keys).limit(most)
-    return top.select(*keys)
+    return top.select(*keys, F.ceil(F.col("__rows") / F.lit(min_rows)).cast("int").alias("__slices"))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -> Column:
@@ -50,50 +54,47 @@ def salted_left_join(
     hot: DataFrame | None = None,
     *,
     null_safe: bool = False,
-    slices: int = SLICES,
-    min_rows: int | None = None,
     keep_slice: bool = False,
 ) -> DataFrame:
     """Left join of ``left`` to ``right`` with heavy keys of ``left`` spread by a hash of ``spread``.
 
-    ``hot`` may name the heavy keys (for example counted on the bare scan under a costly ``left``).
-    With plain equality, rows with a null key can match nothing and are spread as well.
+    ``hot`` may give the heavy keys (``hot_keys``) counted elsewhere, for example on the bare scan under a
+    costly ``left``.  With plain equality, rows with a null key can match nothing and are spread as well.
     """
+    added = [c for c in right.columns if c not in keys]
+    own = left.columns
+    clash = set(added) & set(own)
+    if clash:
+        raise ValueError(f"columns on both sides besides the keys: {sorted(clash)}")
     if hot is None:
-        hot = hot_keys(left, keys, min_rows)
-    marks = F.broadcast(
-        hot.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.lit(True).alias("__hot"))
-    )
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(slices)).cast("int")
+        hot = hot_keys(left, keys)
+    marks = F.broadcast(hot.select(*[F.col(k).alias(f"__r_{k}") for k in keys], "__slices"))
+    digest = F.xxhash64(*[F.col(c) for c in spread])
 
     marked = left.join(marks, _same(left, marks, keys, null_safe), "left")
-    many = F.coalesce(F.col("__hot"), F.lit(False))
+    slice_of = F.coalesce(F.pmod(digest, F.col("__slices")).cast("int"), F.lit(0))
     if not null_safe:
-        many = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], many)
-    sliced = marked.select(*left.columns, F.when(many, salt).otherwise(F.lit(0)).alias("__slice"))
+        no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        slice_of = F.when(no_key, F.pmod(digest, F.lit(NULL_SLICES)).cast("int")).otherwise(slice_of)
+    sliced = marked.select(*own, slice_of.alias("__slice"))
 
+    last = F.coalesce(F.col("__slices"), F.lit(1)) - F.lit(1)
     copies = right.join(marks, _same(right, marks, keys, null_safe), "left").select(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-        F.explode(
-            F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
-        ).alias("__r_slice"),
+        *added,
+        F.explode(F.sequence(F.lit(0), last)).alias("__r_slice"),
     )
     on = _same(sliced, copies, keys, null_safe) & (sliced["__slice"] == copies["__r_slice"])
-    added = [c for c in right.columns if c not in keys]
-    clash = set(added) & set(left.columns)
-    if clash:
-        raise ValueError(f"columns on both sides besides the keys: {sorted(clash)}")
     extra = ["__slice"] if keep_slice else []
-    return sliced.join(copies, on, "left").select(*left.columns, *added, *extra)
+    return sliced.join(copies, on, "left").select(*own, *added, *extra)
 
 
 def attach_group_facts(
-    rows: DataFrame, keys: list[str], aggs: list[Column], spread: list[str], **options
+    rows: DataFrame, keys: list[str], aggs: list[Column], spread: list[str]
 ) -> DataFrame:
     """Give every row the aggregates of its group (a grouped ``mutate``) without a whole-group window."""
     facts = rows.groupBy(*keys).agg(*aggs)
-    return salted_left_join(rows, facts, keys, spread, null_safe=True, **options)
+    return salted_left_join(rows, facts, keys, spread, null_safe=True)
 
 
 def blocked(rows: DataFrame, keys: list[str], position: Column, size: int | None = None) -> DataFrame:
