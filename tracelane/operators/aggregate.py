@@ -137,58 +137,47 @@ def strat_table(
     cells = cells.groupBy("variable", "level", "stratum").agg(F.count(F.lit(1)).alias("n"))
     column = F.sum("n").over(Window.partitionBy("variable", "stratum"))
     table = cells.withColumn("percent", F.lit(100.0) * F.col("n") / column)
-    if strata is None or not test:
-        return table
-    return table.join(chi_square(cells), "variable", "left")
+    return table if strata is None or not test else with_chi_square(table)
 
 
-def chi_square(cells: DataFrame) -> DataFrame:
-    """Chi-square statistic and degrees of freedom per variable from (variable, level, stratum, n).
+def with_chi_square(cells: DataFrame) -> DataFrame:
+    """Add the chi-square statistic and degrees of freedom of each variable to (variable, level, stratum, n).
 
-    Uses sum(n^2 / (row * column)) over the filled cells, so empty cells need no row of their own:
-    the plain statistic is total * (that sum - 1).  The corrected 2x2 form is built from its four cells.
+    Works on the counted cells only, and only on filled ones: the plain statistic is
+    total * (sum of n^2 / (row * column) - 1), to which an empty cell adds nothing.  In a 2x2 table all cells
+    miss their expectation by the same amount, so the corrected form follows from any filled cell.
     """
-    cells = cells.withColumn("n", F.col("n").cast("double"))  # products of counts exceed a long
-    rows = cells.groupBy("variable", "level").agg(F.sum("n").alias("row_n"))
-    cols = cells.groupBy("variable", "stratum").agg(F.sum("n").alias("col_n"))
-    joined = cells.join(rows, ["variable", "level"]).join(cols, ["variable", "stratum"])
-    terms = joined.groupBy("variable").agg(
-        F.sum(F.col("n") * F.col("n") / (F.col("row_n") * F.col("col_n"))).alias("terms"),
-        F.sum("n").alias("total"),
-    )
-    levels = rows.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min_by("row_n", "level").alias("row_1"),
-        F.max_by("row_n", "level").alias("row_2"),
-        F.min("level").alias("level_1"),
-    )
-    strata = cols.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("n_cols"),
-        F.min_by("col_n", "stratum").alias("col_1"),
-        F.max_by("col_n", "stratum").alias("col_2"),
-        F.min("stratum").alias("stratum_1"),
-    )
-    first = cells.select(
-        "variable", F.col("level").alias("level_1"), F.col("stratum").alias("stratum_1"), F.col("n").alias("n_11")
-    )
-    shape = terms.join(levels, "variable").join(strata, "variable")
-    shape = shape.join(first, ["variable", "level_1", "stratum_1"], "left")
-    n11 = F.coalesce(F.col("n_11"), F.lit(0.0))
-    # all four cells deviate from their expectation by the same amount
-    gap = F.abs(n11 - F.col("row_1") * F.col("col_1") / F.col("total"))
-    less = gap - F.least(F.lit(0.5), gap)
-    share = reduce(
-        lambda a, b: a + b,
-        [F.col("total") / (F.col(r) * F.col(c)) for r in ("row_1", "row_2") for c in ("col_1", "col_2")],
+    row, col = Window.partitionBy("variable", "level"), Window.partitionBy("variable", "stratum")
+    whole = Window.partitionBy("variable")
+    n = F.col("n").cast("double")  # products of counts exceed a long
+    one = F.lit(1.0)
+    margins = cells.withColumns(
+        {
+            "__row": F.sum(n).over(row),
+            "__in_row": F.count(n).over(row),
+            "__col": F.sum(n).over(col),
+            "__in_col": F.count(n).over(col),
+            "__total": F.sum(n).over(whole),
+        }
     )
-    two_by_two = (F.col("n_rows") == 2) & (F.col("n_cols") == 2)
-    plain = F.col("total") * (F.col("terms") - F.lit(1.0))
-    df = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
-    return shape.select(
-        "variable",
-        F.when(df > 0, F.when(two_by_two, less * less * share).otherwise(plain)).alias("chi_square"),
-        df.alias("dof"),
+    gap = F.abs(n - F.col("__row") * F.col("__col") / F.col("__total"))
+    sums = margins.withColumns(
+        {
+            "__terms": F.sum(n * n / (F.col("__row") * F.col("__col"))).over(whole),
+            "__rows": F.round(F.sum(one / F.col("__in_row")).over(whole)).cast("long"),
+            "__cols": F.round(F.sum(one / F.col("__in_col")).over(whole)).cast("long"),
+            "__row_inv": F.sum(one / (F.col("__row") * F.col("__in_row"))).over(whole),
+            "__col_inv": F.sum(one / (F.col("__col") * F.col("__in_col"))).over(whole),
+            "__gap": F.max(gap).over(whole),
+        }
     )
+    dof = (F.col("__rows") - 1) * (F.col("__cols") - 1)
+    less = F.col("__gap") - F.least(F.lit(0.5), F.col("__gap"))
+    corrected = less * less * F.col("__total") * F.col("__row_inv") * F.col("__col_inv")
+    plain = F.col("__total") * (F.col("__terms") - one)
+    two_by_two = (F.col("__rows") == 2) & (F.col("__cols") == 2)
+    statistic = F.when(dof > 0, F.when(two_by_two, corrected).otherwise(plain))
+    return sums.select(*cells.columns, statistic.alias("chi_square"), dof.alias("dof"))
 
 
 def invalidity_breakdown(trials: DataFrame, min_click_ms: float = 200) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# the queries without the rounding that only serves the comparison
+UNROUNDED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -31,6 +33,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        UNROUNDED[name] = fn
         if sql is not None:
             ORACLES[name] = sql
         return fn
