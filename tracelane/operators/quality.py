@@ -212,12 +212,14 @@ def enrich(
     trials: DataFrame,
     keys: str = "explicit",
     spread: list[str] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Participant and trial attributes on every row of a large table.
 
     ``explicit``: the two small tables are joined with each other first, so the large one is joined once,
     on (participant, trial).  ``natural``: two joins on all shared columns, null matching null, as written
     in the analyses - rows whose client columns differ from the participant's get no trial attributes.
+    ``hot`` may give the trials that are heavy in ``rows``, which are counted otherwise.
     """
     if keys == "natural":
         return natural_join(natural_join(rows, ppt), trials)
@@ -226,4 +228,4 @@ def enrich(
     on = ["participant", "trial"]
     person = natural_join(trials, ppt, "left", ["participant"], null_safe=False)
     added = person.select(*on, *[c for c in person.columns if c not in rows.columns])
-    return salted_left_join(rows, added, on, spread or rows.columns)
+    return salted_left_join(rows, added, on, spread or rows.columns, hot)

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tracelane.functions import to_bin
 from tracelane.operators import skew
 from tracelane.operators.skew import (
+    block_of,
     blocked,
     carried,
+    heaviest,
     hot_keys,
     last_known_before,
     salted_left_join,
@@ -308,6 +310,24 @@ def movement_features(binned: DataFrame, keys: list[str] = TRIAL) -> DataFrame:
     return featured.select(*binned.columns, *_grid_features("bin", "__start"))
 
 
+def _grid_spans(events: DataFrame, durations: DataFrame, step: int) -> DataFrame:
+    """One row per trial: end of its first audio, and first and last bin of its grid."""
+    return trial_clock(events, durations).select(
+        *TRIAL,
+        "condition",
+        "refpos",
+        "audio1_end",
+        to_bin(F.col("first_elapsed") - F.col("audio1_end"), step).alias("__low"),
+        to_bin(F.col("last_elapsed") - F.col("audio1_end"), step).alias("__high"),
+    )
+
+
+def heavy_grids(events: DataFrame, durations: DataFrame, step: int = STEP_MS) -> DataFrame:
+    """Trials with a very long grid, for joins on resampled data; known without resampling anything."""
+    sizes = F.expr("__high - greatest(__low, 0L) + 1")
+    return heaviest(_grid_spans(events, durations, step).select(*TRIAL, sizes.alias("__rows")), TRIAL)
+
+
 def trajectories(
     events: DataFrame,
     durations: DataFrame,
@@ -326,13 +346,7 @@ def trajectories(
         raise ValueError(f"unknown fill_scope {fill_scope!r}")
     constant = ["condition", "refpos"]
     events = events.filter(F.col("participant").isNotNull() & F.col("trial").isNotNull())
-    clock = trial_clock(events, durations).select(
-        *TRIAL,
-        *constant,
-        "audio1_end",
-        to_bin(F.col("first_elapsed") - F.col("audio1_end"), step).alias("__low"),
-        to_bin(F.col("last_elapsed") - F.col("audio1_end"), step).alias("__high"),
-    )
+    clock = _grid_spans(events, durations, step)
     samples = events.select(*TRIAL, "seq", "event_category", "elapsed", "x", "y")
     timed = salted_left_join(
         samples, clock, TRIAL, ["seq"], hot_keys(events, TRIAL), keep_slice=True
@@ -363,7 +377,7 @@ def trajectories(
         rows = salted_left_join(rows, prior, TRIAL, ["bin"], hot_keys(observed, TRIAL))
     else:
         rows = rows.withColumns({"__x0": nothing, "__y0": nothing})
-    scanned = _scan(rows, TRIAL, only=F.col("__high") - F.col("__low") >= F.lit(skew.BLOCK))
+    scanned = _scan(rows, TRIAL, only=block_of(F.col("__high") - F.col("__low")) > 0)
 
     runs = _row_features(scanned, origin).withColumns(
         {

@@ -33,8 +33,15 @@ def hot_keys(
 
     ``__slices`` is the number of sub-keys that gives each about ``min_rows`` rows.
     """
-    min_rows = HOT_ROWS if min_rows is None else min_rows
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return heaviest(counts, keys, min_rows, most)
+
+
+def heaviest(
+    counts: DataFrame, keys: list[str], min_rows: int | None = None, most: int = HOT_KEYS
+) -> DataFrame:
+    """As ``hot_keys``, from one row per key with its (known or expected) number of ``__rows``."""
+    min_rows = HOT_ROWS if min_rows is None else min_rows
     top = counts.filter(F.col("__rows") >= min_rows).orderBy(F.desc("__rows"), *keys).limit(most)
     return top.select(*keys, F.ceil(F.col("__rows") / F.lit(min_rows)).cast("int").alias("__slices"))
 
@@ -97,12 +104,18 @@ def attach_group_facts(
     return salted_left_join(rows, facts, keys, spread, null_safe=True)
 
 
-def blocked(rows: DataFrame, keys: list[str], position: Column, size: int | None = None) -> DataFrame:
-    """Add ``__block`` (``position`` div ``size``, default ``BLOCK``) and bring each block together."""
+def block_of(position: Column, size: int | None = None) -> Column:
+    """Number of the block (of ``size`` positions, default ``BLOCK``) around a position.
+
+    Block 0 lies around position 0, so that an ordinary group with a few negative positions is one block.
+    """
     size = BLOCK if size is None else size
-    return rows.withColumn("__block", F.floor(position / F.lit(size)).cast("long")).repartition(
-        *keys, "__block"
-    )
+    return F.floor((position + F.lit(size // 2)) / F.lit(size)).cast("long")
+
+
+def blocked(rows: DataFrame, keys: list[str], position: Column, size: int | None = None) -> DataFrame:
+    """Add ``__block`` (see ``block_of``) and bring the rows of each block together."""
+    return rows.withColumn("__block", block_of(position, size)).repartition(*keys, "__block")
 
 
 def carried(

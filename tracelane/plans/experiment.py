@@ -32,7 +32,7 @@ from tracelane.operators.quality import (
     resolve_duplicates,
     trial_inclusion,
 )
-from tracelane.operators.resample import STEP_MS, trajectories
+from tracelane.operators.resample import STEP_MS, heavy_grids, trajectories
 from tracelane.operators.trials import (
     attach_attention,
     attention_score,
@@ -122,7 +122,7 @@ def build_cohort(
     return CohortTables(
         ppt_info=ppt,
         ppt_trial_info=trials,
-        tdat_binned=enrich(binned, ppt, trials, keys, ["bin"]),
+        tdat_binned=enrich(binned, ppt, trials, keys, ["bin"], heavy_grids(trial_rows, durations, step)),
         object_clicks=enrich(clicks, ppt, trials, keys, ["participant"]),
     )
 

@@ -320,12 +320,17 @@ MOVE = "CASE WHEN refprop > disprop THEN 'ref' WHEN disprop > refprop THEN 'dist
 MOVEO = "CASE WHEN refprop > disprop THEN 3 WHEN disprop > refprop THEN 1 WHEN refprop = disprop THEN 2 END"
 
 
+def long_grids(spark, sf):
+    return rs.heavy_grids(model_events(spark, sf), model_durations(spark, sf), BIN_MS)
+
+
 def model_frame(spark, sf, max_seconds=72_000.0):
     """The model frame of the merged cohorts, without fillers."""
     binned = model_trajectories(spark, sf).filter(F.col("condition") != "Filler")
     trials = qu.trial_inclusion(model_trials(spark, sf)).select(*TRIAL, "include_trial")
     ppt = model_participants(spark, sf).select("participant", "include_ppt", "bilingual")
-    rows = qu.enrich(binned, ppt, trials, spread=["bin"]).withColumn("duplicate2", F.lit("n-dup"))
+    rows = qu.enrich(binned, ppt, trials, spread=["bin"], hot=long_grids(spark, sf))
+    rows = rows.withColumn("duplicate2", F.lit("n-dup"))
     rows = rows.withColumns(
         {
             "cohort": F.when(F.col("participant") % 2 == 0, "Mturk").otherwise("LAB"),
@@ -601,9 +606,8 @@ def f6(spark, sf):
 )
 def j9(spark, sf):
     binned = model_trajectories(spark, sf).filter(F.col("condition") != "Filler")
-    rows = qu.enrich(
-        binned, model_participants(spark, sf), qu.trial_inclusion(model_trials(spark, sf)), spread=["bin"]
-    )
+    trials = qu.trial_inclusion(model_trials(spark, sf))
+    rows = qu.enrich(binned, model_participants(spark, sf), trials, spread=["bin"], hot=long_grids(spark, sf))
     return rows.select(
         *TRIAL, "bin", "refprop", "include_ppt", "bilingual2", "total_trials", "clicked", "clicktime", "include_trial"
     )
