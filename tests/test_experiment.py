@@ -40,23 +40,23 @@ def write_cohort(folder, prefix, first, people, seed):
 
 
 def test_both_cohorts_to_reports(spark, tmp_path):
-    write_cohort(tmp_path, "1052-v1", 90, 6, seed=1)
+    write_cohort(tmp_path, "online-v1", 90, 6, seed=1)
     write_cohort(tmp_path, "lab-v1", 1, 4, seed=2)
     audio = "".join(f"{'f' if i == 2 else 'e'}_{item}_{['f1', 'd1', '1'][i]}.wav,1.0\n" for i, item in enumerate(ITEMS))
     (tmp_path / "audio.csv").write_text(audio)
     (tmp_path / "roster.tsv").write_text(
         "HIT ID\tWORKER ID\tHIT RATE\tCOMMENTS\tBATCH\n"
-        + "".join(f"H\t  W{w}\t1\tok\tmtrack_loy {b}\n" for w, b in [(45, 1), (45, 2), (46, 1)])
+        + "".join(f"H\t  W{w}\t1\tok\tbatch {b}\n" for w, b in [(45, 1), (45, 2), (46, 1)])
     )
     durations = parse_durations(so.read_durations(spark, str(tmp_path / "audio.csv")))
     cohorts = {}
-    for name, roster in [("1052-v1", so.read_roster(spark, str(tmp_path / "roster.tsv"))), ("lab-v1", None)]:
+    for name, roster in [("online-v1", so.read_roster(spark, str(tmp_path / "roster.tsv"))), ("lab-v1", None)]:
         events = ex.clean_events(so.read_events(spark, str(tmp_path), f"{name}.csv"))
         questions = so.read_questionnaire(spark, str(tmp_path), f"{name}-q.csv")
         cohorts[name] = ex.build_cohort(
             events, questions, durations, roster, thresholds=RULES, store=str(tmp_path / f"stages-{name}")
         ).stored(spark, str(tmp_path / f"tables-{name}"))
-    online, lab = cohorts["1052-v1"], cohorts["lab-v1"]
+    online, lab = cohorts["online-v1"], cohorts["lab-v1"]
     assert online.ppt_info.count() == 6 and online.ppt_trial_info.count() == 18
     assert {r.att_check for r in online.ppt_info.collect()} == {1.0}
     status = {r.participant: (r.duplicate, r.duplicate2, r.submitted) for r in online.ppt_info.collect()}

@@ -5,19 +5,19 @@ from tracelane import sources as so
 
 
 def test_versions_with_different_headers_stack_by_name(spark, tmp_path, rows):
-    (tmp_path / "1052-v1.csv").write_text(
+    (tmp_path / "online-v1.csv").write_text(
         "Participant,Trial,Event Type,X,Browser\n1,lamp,move,10.5,img.png\n1,lamp,click,NA,\n", encoding="utf-8"
     )
-    (tmp_path / "1052-v2.csv").write_text(
+    (tmp_path / "online-v2.csv").write_text(
         "Trial,X,Participant,image-left,other\nzoo,3,2,\"a, b.png\",7\n", encoding="utf-8"
     )
     (tmp_path / "notes.csv").write_text("a,b\n1,2\n", encoding="utf-8")
-    df = so.read_events(spark, str(tmp_path), "1052-v*")
+    df = so.read_events(spark, str(tmp_path), "online-v*")
     assert dict(df.dtypes)["participant"] == "bigint" and dict(df.dtypes)["trial_start"] == "bigint"
     assert rows(df, "participant", "trial", "event_type", "x", "browser", "image_left", "src_file") == [
-        (1, "lamp", "click", None, None, None, "1052-v1.csv"),
-        (1, "lamp", "move", 10.5, "img.png", None, "1052-v1.csv"),
-        (2, "zoo", None, 3.0, None, "a, b.png", "1052-v2.csv"),
+        (1, "lamp", "click", None, None, None, "online-v1.csv"),
+        (1, "lamp", "move", 10.5, "img.png", None, "online-v1.csv"),
+        (2, "zoo", None, 3.0, None, "a, b.png", "online-v2.csv"),
     ]
     with pytest.raises(FileNotFoundError):
         so.read_events(spark, str(tmp_path), "none*")
@@ -48,10 +48,10 @@ def test_one_header_opens_a_single_file(spark, tmp_path):
 def test_durations_and_roster(spark, tmp_path, rows):
     (tmp_path / "d.csv").write_text("e_lamp_f1.wav,1.25\np1.wav,2\n")
     assert rows(so.read_durations(spark, str(tmp_path / "d.csv"))) == [("e_lamp_f1.wav", 1.25), ("p1.wav", 2.0)]
-    text = "HIT ID\tWORKER ID\tHIT RATE\tCOMMENTS\tBATCH\nH1\t  ZZTEST01\t100%\tcode X\tmtrack_loy 7\nH2\t\t1%\t\t\n"
+    text = "HIT ID\tWORKER ID\tHIT RATE\tCOMMENTS\tBATCH\nH1\t  ZZTEST01\t100%\tcode X\tbatch 7\nH2\t\t1%\t\t\n"
     (tmp_path / "w.tsv").write_text(text, encoding="utf-8")
     assert rows(so.read_roster(spark, str(tmp_path / "w.tsv")), "mturk_id", "comments", "batch") == [
-        ("ZZTEST01", "code X", "mtrack_loy 7")
+        ("ZZTEST01", "code X", "batch 7")
     ]
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelane.functions import if_else, ordered_concat, ordered_list, strict_avg
-from tracelane.operators.skew import attach_group_facts, blocked, carried
+from tracelane.operators.joins import natural_join
+from tracelane.operators.skew import attach_group_facts, blocked, carried, heaviest
 
 
 def to_long(
@@ -235,26 +236,42 @@ def choice_summary(clicks: DataFrame, seq: str | None = None) -> DataFrame:
     )
 
 
-def attempts(roster: DataFrame, min_attempts: int = 2) -> DataFrame:
-    """Workers with several submissions, their batches and comments in order.
+def _pieces(roster: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Number of submissions per worker, and the submissions with their ``part``.
 
-    The joined texts are the result itself, so a worker's texts do meet in one row; decisions that need only a
-    test of them use ``repeat_workers`` instead.
+    A worker has one part, numbered 0.  One with a heavy share of all rows is cut along ``seq`` into
+    consecutive parts, so that no single text or list has to hold all of it.
     """
-    return (
-        roster.groupBy("mturk_id")
-        .agg(
-            F.count(F.lit(1)).alias("nr_attempts"),
-            F.regexp_replace(ordered_concat("batch", "seq"), "mtrack_loy ", "").alias("batches"),
-            ordered_concat("comments", "seq").alias("comments"),
-        )
-        .filter(F.col("nr_attempts") >= min_attempts)
+    counts = roster.groupBy("mturk_id").agg(
+        F.count(F.lit(1)).alias("__rows"), F.min("seq").alias("__from"), F.max("seq").alias("__to")
+    )
+    heavy = heaviest(counts, ["mturk_id"], also=("__from", "__to"))
+    heavy = F.broadcast(heavy.withColumnRenamed("mturk_id", "__worker"))
+    marked = roster.join(heavy, roster["mturk_id"].eqNullSafe(heavy["__worker"]), "left")
+    cut = F.floor((F.col("seq") - F.col("__from")) * F.col("__slices") / (F.col("__to") - F.col("__from") + 1))
+    parts = marked.select(*roster.columns, F.coalesce(cut.cast("int"), F.lit(0)).alias("part"))
+    return counts.select("mturk_id", F.col("__rows").alias("nr_attempts")), parts
+
+
+def attempts(roster: DataFrame, min_attempts: int = 2, batch_prefix: str = "") -> DataFrame:
+    """Workers with several submissions, their batches and comments in order (see ``_pieces`` for ``part``).
+
+    ``batch_prefix`` is left out of the batch names.
+    """
+    counts, parts = _pieces(roster)
+    texts = parts.groupBy("mturk_id", "part").agg(
+        F.replace(ordered_concat("batch", "seq"), F.lit(batch_prefix), F.lit("")).alias("batches"),
+        ordered_concat("comments", "seq").alias("comments"),
     )
+    several = counts.filter(F.col("nr_attempts") >= min_attempts)
+    joined = natural_join(texts, several, "inner", ["mturk_id"])
+    return joined.select("mturk_id", "part", "nr_attempts", "batches", "comments")
 
 
 def listed_attempts(roster: DataFrame) -> DataFrame:
-    """The submissions of each worker as an ordered array."""
-    return roster.groupBy("mturk_id").agg(ordered_list("batch", "seq").alias("batches"))
+    """The submissions of each worker as an ordered array (see ``_pieces`` for ``part``)."""
+    _, parts = _pieces(roster)
+    return parts.groupBy("mturk_id", "part").agg(ordered_list("batch", "seq").alias("batches"))
 
 
 def has_duplicates(df: DataFrame, col: str) -> DataFrame:

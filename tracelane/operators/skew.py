@@ -38,12 +38,20 @@ def hot_keys(
 
 
 def heaviest(
-    counts: DataFrame, keys: list[str], min_rows: int | None = None, most: int = HOT_KEYS
+    counts: DataFrame,
+    keys: list[str],
+    min_rows: int | None = None,
+    most: int = HOT_KEYS,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """As ``hot_keys``, from one row per key with its (known or expected) number of ``__rows``."""
+    """As ``hot_keys``, from one row per key with its (known or expected) number of ``__rows``.
+
+    ``also`` names further columns of ``counts`` to keep.
+    """
     min_rows = HOT_ROWS if min_rows is None else min_rows
     top = counts.filter(F.col("__rows") >= min_rows).orderBy(F.desc("__rows"), *keys).limit(most)
-    return top.select(*keys, F.ceil(F.col("__rows") / F.lit(min_rows)).cast("int").alias("__slices"))
+    slices = F.ceil(F.col("__rows") / F.lit(min_rows)).cast("int").alias("__slices")
+    return top.select(*keys, slices, *also)
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -> Column:

@@ -135,7 +135,7 @@ def model_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(
         F.concat(F.lit("W"), worker.cast("string")).alias("mturk_id"),
         F.col("o_orderkey").alias("seq"),
-        F.concat(F.lit("mtrack_loy "), F.col("o_orderstatus")).alias("batch"),
+        F.concat(F.lit("batch "), F.col("o_orderstatus")).alias("batch"),
         F.concat_ws(" ", "o_orderpriority", (F.col("o_orderkey") % 16).cast("string")).alias("comments"),
     )
 

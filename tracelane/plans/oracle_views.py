@@ -221,7 +221,7 @@ VIEWS["lang"] = (
 VIEWS["roster"] = (
     (),
     """SELECT 'W' || (o_custkey * 10 + month(o_orderdate) % 10) AS mturk_id, o_orderkey AS seq,
-    'mtrack_loy ' || o_orderstatus AS batch, o_orderpriority || ' ' || (o_orderkey % 16) AS comments FROM orders""",
+    'batch ' || o_orderstatus AS batch, o_orderpriority || ' ' || (o_orderkey % 16) AS comments FROM orders""",
 )
 VIEWS["ppt"] = (
     ("pi", "sb", "lang"),

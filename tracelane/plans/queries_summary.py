@@ -128,20 +128,21 @@ def a6(spark, sf):
 @query(
     "a7_attempts_as_text",
     statement(
-        """SELECT mturk_id, count(*) AS nr_attempts, replace(string_agg(batch, ', ' ORDER BY seq), 'mtrack_loy ', '')
+        """SELECT mturk_id, 0 AS part, count(*) AS nr_attempts, replace(string_agg(batch, ', ' ORDER BY seq), 'batch ', '')
         AS batches, string_agg(comments, ', ' ORDER BY seq) AS comments FROM roster GROUP BY mturk_id
         HAVING count(*) > 1""",
         "roster",
     ),
 )
 def a7(spark, sf):
-    return agg.attempts(model_roster(spark, sf))
+    return agg.attempts(model_roster(spark, sf), batch_prefix="batch ")
 
 
 @query(
     "a8_attempts_as_list",
     statement(
-        "SELECT mturk_id, string_agg(batch, '|' ORDER BY seq) AS batches FROM roster GROUP BY mturk_id", "roster"
+        "SELECT mturk_id, 0 AS part, string_agg(batch, '|' ORDER BY seq) AS batches FROM roster GROUP BY mturk_id",
+        "roster",
     ),
 )
 def a8(spark, sf):
@@ -315,12 +316,12 @@ def a19(spark, sf):
 @query(
     "a20_any_duplicate",
     statement(
-        "SELECT count(*) > count(DISTINCT mturk_id) AS any_duplicate FROM roster WHERE batch = 'mtrack_loy P'", "roster"
+        "SELECT count(*) > count(DISTINCT mturk_id) AS any_duplicate FROM roster WHERE batch = 'batch P'", "roster"
     ),
 )
 def a20(spark, sf):
     roster = model_roster(spark, sf)
-    return agg.has_duplicates(roster.filter(F.col("batch") == "mtrack_loy P"), "mturk_id")
+    return agg.has_duplicates(roster.filter(F.col("batch") == "batch P"), "mturk_id")
 
 
 @query(
@@ -518,3 +519,17 @@ def p15(spark, sf):
 def attention_join(spark, sf):
     ppt = qu.participant_info(model_trials(spark, sf)).select("participant", "total_trials")
     return natural_join(ppt, model_attention(spark, sf).drop("att_checkn"), "left", ["participant"], null_safe=False)
+
+
+@query(
+    "x11_first_match",
+    statement(
+        """SELECT mturk_id, min(nth) FILTER (WHERE ok) AS first_index, min(seq) FILTER (WHERE ok) AS first_value FROM (
+        SELECT mturk_id, seq, batch = 'batch F' AS ok, row_number() OVER (PARTITION BY mturk_id ORDER BY seq) AS nth
+        FROM roster) GROUP BY mturk_id""",
+        "roster",
+    ),
+)
+def x11(spark, sf):
+    roster = model_roster(spark, sf).select("mturk_id", "seq", "batch")
+    return agg.first_index(roster, ["mturk_id"], F.col("batch") == "batch F", "seq", "seq")

@@ -717,3 +717,33 @@ def a1(spark, sf):
             first_where("elapsed", F.col("event_type") == "playbackstart", "seq").alias("onset"),
         )
     )
+
+
+DISTANCES = ["x_step_end", "distance_travelled", "cumulative_distance", "ref_cdist", "dis_cdist"]
+
+
+@query(
+    "j6_derived_distances",
+    statement(
+        f"SELECT participant, trial, bin, {', '.join(f'{r6(c)} AS {c}' for c in DISTANCES)} FROM mv", "mv"
+    ),
+)
+def j6(spark, sf):
+    """What the three self-joins attach to the grid, from windows instead."""
+    return model_trajectories(spark, sf).select(*TRIAL, "bin", *DISTANCES)
+
+
+@query(
+    "x10_differences_and_running_sums",
+    statement(
+        f"""SELECT participant, seq, k - lag(k) OVER v AS step, CASE WHEN lag(k) OVER v IS NOT NULL THEN
+        {r6('sum(abs(d)) OVER w')} END AS cumulative FROM (SELECT participant, seq, k,
+        CAST(k - lag(k) OVER (PARTITION BY participant ORDER BY seq) AS DOUBLE) AS d FROM ev)
+        WINDOW v AS (PARTITION BY participant ORDER BY seq),
+        w AS (PARTITION BY participant ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        "ev",
+    ),
+)
+def x10(spark, sf):
+    rows = model_events(spark, sf).select("participant", "seq", "k")
+    return agg.step_features(rows, ["participant"], "seq", "k").drop("k")
