@@ -196,20 +196,21 @@ def test_repeated_participation(spark, rows):
         (8, "n-dup", "n-dup", "valid : n-dup", "not submitted"),
     ]
     text = roster.withColumn("seq", F.monotonically_increasing_id())
-    assert rows(agg.attempts(text), "mturk_id", "part", "nr_attempts", "comments") == [
-        ("A", 0, 2, "ok, fine"),
-        ("B", 0, 2, "code TWAIN, NA"),
+    assert rows(agg.attempts(text), "mturk_id", "position", "nr_attempts", "comments") == [
+        ("A", 1, 2, "ok"),
+        ("A", 2, 2, "fine"),
+        ("B", 1, 2, "code TWAIN"),
+        ("B", 2, 2, None),
     ]
 
 
-def test_texts_of_a_heavy_worker_come_in_parts(spark, rows, monkeypatch):
+def test_attempts_are_the_same_rows_however_a_worker_is_cut(spark, rows, monkeypatch):
     roster = spark.range(20).selectExpr("if(id < 16, 'A', 'B') AS mturk_id", "id AS seq", "concat('b', id) AS batch", "'c' AS comments")
-    whole = rows(agg.attempts(roster, batch_prefix="b"), "mturk_id", "part", "batches")
-    assert whole[0] == ("A", 0, ", ".join(str(i) for i in range(16)))
-    monkeypatch.setattr(skew, "HOT_ROWS", 5)
-    cut = rows(agg.attempts(roster, batch_prefix="b"), "mturk_id", "part", "nr_attempts", "batches")
-    assert [(w, p, n) for w, p, n, _ in cut] == [("A", 0, 16), ("A", 1, 16), ("A", 2, 16), ("A", 3, 16), ("B", 0, 4)]
-    assert ", ".join(b for *_, b in cut[:4]) == whole[0][2]
+    whole = rows(agg.attempts(roster, batch_prefix="b"))
+    assert whole[3] == ("A", 4, 16, "3", "c") and len(whole) == 20
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    assert rows(agg.attempts(roster, batch_prefix="b")) == whole
+    assert len(rows(agg.listed_attempts(roster))) == 20
 
 
 def test_first_answer_counts_and_nobody_is_lost(spark, rows):

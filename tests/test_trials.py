@@ -140,9 +140,12 @@ def test_row_order_does_not_matter(spark, events, durations, rows):
     )
 
 
-def test_broken_clock_fails_loudly(events, durations):
-    with pytest.raises(Exception, match="grid of more than 10 bins"):
-        rs.trajectories(events, durations, max_bins=10).count()
+def test_a_trial_with_several_conditions_keeps_its_rows(spark, durations):
+    some = spark.createDataFrame(ALL, SCHEMA)
+    mixed = some.withColumn("condition", F.when(F.col("seq") % 2 == 0, F.col("condition")))
+    aligned = tr.align_trials(mixed, durations)
+    assert aligned.count() == some.count()
+    assert tr.trial_onsets(mixed).count() == some.select("participant", "trial").distinct().count()
 
 
 def test_invariants_on_shared_data(spark):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelane.functions import if_else, ordered_concat, ordered_list, strict_avg
+from tracelane.functions import if_else, strict_avg
 from tracelane.operators.joins import natural_join
 from tracelane.operators.skew import attach_group_facts, blocked, carried, heaviest
 
@@ -236,42 +236,43 @@ def choice_summary(clicks: DataFrame, seq: str | None = None) -> DataFrame:
     )
 
 
-def _pieces(roster: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Number of submissions per worker, and the submissions with their ``part``.
+def attempts(roster: DataFrame, min_attempts: int = 2, batch_prefix: str = "") -> DataFrame:
+    """The submissions of workers with several, in order: one row each, with its ``position`` and their number.
 
-    A worker has one part, numbered 0.  One with a heavy share of all rows is cut along ``seq`` into
-    consecutive parts, so that no single text or list has to hold all of it.
+    ``batch_prefix`` is left out of the batch names.  A worker with a heavy share of all rows is numbered in
+    slices of ``seq``, which follow one another; the rows are the same at every size.
     """
-    counts = roster.groupBy("mturk_id").agg(
+    worker = ["mturk_id"]
+    counts = roster.groupBy(*worker).agg(
         F.count(F.lit(1)).alias("__rows"), F.min("seq").alias("__from"), F.max("seq").alias("__to")
     )
-    heavy = heaviest(counts, ["mturk_id"], also=("__from", "__to"))
+    heavy = heaviest(counts, worker, also=("__from", "__to"))
     heavy = F.broadcast(heavy.withColumnRenamed("mturk_id", "__worker"))
     marked = roster.join(heavy, roster["mturk_id"].eqNullSafe(heavy["__worker"]), "left")
     cut = F.floor((F.col("seq") - F.col("__from")) * F.col("__slices") / (F.col("__to") - F.col("__from") + 1))
-    parts = marked.select(*roster.columns, F.coalesce(cut.cast("int"), F.lit(0)).alias("part"))
-    return counts.select("mturk_id", F.col("__rows").alias("nr_attempts")), parts
-
-
-def attempts(roster: DataFrame, min_attempts: int = 2, batch_prefix: str = "") -> DataFrame:
-    """Workers with several submissions, their batches and comments in order (see ``_pieces`` for ``part``).
-
-    ``batch_prefix`` is left out of the batch names.
-    """
-    counts, parts = _pieces(roster)
-    texts = parts.groupBy("mturk_id", "part").agg(
-        F.replace(ordered_concat("batch", "seq"), F.lit(batch_prefix), F.lit("")).alias("batches"),
-        ordered_concat("comments", "seq").alias("comments"),
+    parts = marked.select(*roster.columns, F.coalesce(cut.cast("int"), F.lit(0)).alias("__part"))
+    slices = Window.partitionBy(*worker)
+    sizes = parts.groupBy(*worker, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select(
+        *worker,
+        "__part",
+        (F.sum("__n").over(slices.orderBy("__part")) - F.col("__n")).alias("__before"),
+        F.sum("__n").over(slices).alias("nr_attempts"),
+    ).filter(F.col("nr_attempts") >= min_attempts)
+    own = F.row_number().over(Window.partitionBy(*worker, "__part").orderBy("seq"))
+    numbered = natural_join(parts.withColumn("__own", own), sizes, "inner", [*worker, "__part"])
+    return numbered.select(
+        *worker,
+        (F.col("__before") + F.col("__own")).alias("position"),
+        "nr_attempts",
+        F.replace("batch", F.lit(batch_prefix), F.lit("")).alias("batch") if batch_prefix else F.col("batch"),
+        "comments",
     )
-    several = counts.filter(F.col("nr_attempts") >= min_attempts)
-    joined = natural_join(texts, several, "inner", ["mturk_id"])
-    return joined.select("mturk_id", "part", "nr_attempts", "batches", "comments")
 
 
 def listed_attempts(roster: DataFrame) -> DataFrame:
-    """The submissions of each worker as an ordered array (see ``_pieces`` for ``part``)."""
-    _, parts = _pieces(roster)
-    return parts.groupBy("mturk_id", "part").agg(ordered_list("batch", "seq").alias("batches"))
+    """All submissions of each worker in order (see ``attempts``)."""
+    return attempts(roster, min_attempts=1).select("mturk_id", "position", "batch")
 
 
 def has_duplicates(df: DataFrame, col: str) -> DataFrame:

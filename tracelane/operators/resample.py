@@ -25,9 +25,8 @@ from tracelane.operators.skew import (
 )
 from tracelane.operators.trials import TRIAL, trial_clock
 
-# fixed values: sampling grid in milliseconds, longest grid accepted for one trial
+# fixed value: sampling grid in milliseconds
 STEP_MS = 20
-MAX_BINS = 50_000_000
 
 FEATURES = [
     "x_step_end",
@@ -62,20 +61,12 @@ def _spread(df: DataFrame, low: Column, high: Column) -> DataFrame:
     return pieces.withColumn("__at", F.explode(F.sequence(F.col("__from"), last)))
 
 
-def _checked_span(high: Column, low: Column, max_bins: int) -> Column:
-    """``high``, or an error when a broken clock would blow the grid up."""
-    too_long = high - low >= F.lit(max_bins)
-    message = F.concat(F.lit(f"a grid of more than {max_bins} bins starts at bin "), low.cast("string"))
-    return F.when(too_long, F.raise_error(message).cast("long")).otherwise(high)
-
-
 def gap_fill(
     observed: DataFrame,
     keys: list[str],
     values: list[str],
     fill_scope: str = "trial",
     min_bin: int | None = None,
-    max_bins: int = MAX_BINS,
 ) -> DataFrame:
     """Dense grid of bins per group, every value carried forward from the last bin that has one.
 
@@ -111,7 +102,6 @@ def gap_fill(
     low = F.col("bin") if min_bin is None else F.greatest(F.col("bin"), F.lit(min_bin).cast("long"))
     high = F.coalesce(F.col("__next") - F.lit(1), F.col("bin"))
     kept = runs.withColumns({"__low": low, "__high": high}).filter(F.col("__low") <= F.col("__high"))
-    kept = kept.withColumn("__high", _checked_span(F.col("__high"), F.col("__low"), max_bins))
     grid = _spread(kept, F.col("__low"), F.col("__high"))
     return grid.select(*keys, F.col("__at").alias("bin"), *values)
 
@@ -138,7 +128,6 @@ def resample(
     aligned: DataFrame,
     step: int = STEP_MS,
     fill_scope: str = "trial",
-    max_bins: int = MAX_BINS,
 ) -> DataFrame:
     """Cursor position on a fixed grid from the referent's onset on.
 
@@ -146,7 +135,7 @@ def resample(
     before the onset are dropped after values have been carried forward.
     """
     observed = _observed_bins(aligned.filter(F.col("time").isNotNull()), TRIAL, step)
-    grid = gap_fill(observed, TRIAL, ["x", "y"], fill_scope, min_bin=0, max_bins=max_bins)
+    grid = gap_fill(observed, TRIAL, ["x", "y"], fill_scope, min_bin=0)
     return grid.withColumn("time", F.col("bin") * F.lit(step))
 
 
@@ -333,7 +322,6 @@ def trajectories(
     durations: DataFrame,
     step: int = STEP_MS,
     fill_scope: str = "trial",
-    max_bins: int = MAX_BINS,
 ) -> DataFrame:
     """Onset-aligned, resampled trials with movement features, straight from raw events.
 
@@ -385,7 +373,6 @@ def trajectories(
             "__at_high": F.expr("coalesce(__next - 1, __high)"),
         }
     ).filter("__at_low <= __at_high")
-    runs = runs.withColumn("__at_high", _checked_span(F.col("__at_high"), F.col("__at_low"), max_bins))
     grid = _spread(runs, F.col("__at_low"), F.col("__at_high"))
     return grid.select(
         *TRIAL,

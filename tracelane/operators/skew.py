@@ -161,8 +161,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    # a local folder only where the session names no shared one (single-machine tests)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelane-checkpoint-"))
+    if not shared:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tracelane-checkpoint-")
+    context.setCheckpointDir(shared)
 
 
 def range_blocks(rows: DataFrame, order: list[str]) -> DataFrame:

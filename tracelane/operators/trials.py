@@ -83,9 +83,10 @@ def side_bias(events: DataFrame) -> DataFrame:
 
 
 def trial_onsets(events: DataFrame, also: tuple[str, ...] = ("condition", "refpos")) -> DataFrame:
-    """Start of the first audio per trial, with the columns that are constant within a trial."""
+    """One row per trial: start of its first audio, and the first known value of what belongs to the trial."""
     onset = first_where("elapsed", F.col("event_type") == "playbackstart", "seq")
-    return events.groupBy(*TRIAL, *also).agg(
+    return events.groupBy(*TRIAL).agg(
+        *[first_where(c, F.col(c).isNotNull(), "seq").alias(c) for c in also],
         onset.alias("audio1_start"),
         F.min("elapsed").alias("first_elapsed"),
         F.max("elapsed").alias("last_elapsed"),

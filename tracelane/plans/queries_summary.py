@@ -128,9 +128,9 @@ def a6(spark, sf):
 @query(
     "a7_attempts_as_text",
     statement(
-        """SELECT mturk_id, 0 AS part, count(*) AS nr_attempts, replace(string_agg(batch, ', ' ORDER BY seq), 'batch ', '')
-        AS batches, string_agg(comments, ', ' ORDER BY seq) AS comments FROM roster GROUP BY mturk_id
-        HAVING count(*) > 1""",
+        """SELECT * FROM (SELECT mturk_id, row_number() OVER (PARTITION BY mturk_id ORDER BY seq) AS position,
+        count(*) OVER (PARTITION BY mturk_id) AS nr_attempts, replace(batch, 'batch ', '') AS batch, comments FROM roster)
+        WHERE nr_attempts > 1""",
         "roster",
     ),
 )
@@ -141,12 +141,12 @@ def a7(spark, sf):
 @query(
     "a8_attempts_as_list",
     statement(
-        "SELECT mturk_id, 0 AS part, string_agg(batch, '|' ORDER BY seq) AS batches FROM roster GROUP BY mturk_id",
+        "SELECT mturk_id, row_number() OVER (PARTITION BY mturk_id ORDER BY seq) AS position, batch FROM roster",
         "roster",
     ),
 )
 def a8(spark, sf):
-    return agg.listed_attempts(model_roster(spark, sf)).withColumn("batches", F.array_join("batches", "|"))
+    return agg.listed_attempts(model_roster(spark, sf))
 
 
 @query(
