@@ -62,8 +62,9 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("words", [4, 5])
-def test_near_duplicates(docs, none, texts, words):
+@pytest.mark.parametrize("words, part", [(4, 1024), (5, 3)])
+def test_near_duplicates(docs, none, texts, words, part, monkeypatch):
+    monkeypatch.setattr(minhash, "PART_ROWS", part)
     sets, known = Sets(), {}
     for i, t in texts:
         w = (t or "").encode().lower().split()

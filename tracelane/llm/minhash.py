@@ -22,6 +22,9 @@ from tracelane.llm.common import CACHE_ENTRIES, components, in_arrow, raw, slice
 BINS, ROWS = 128, 4
 """32 bands of 4 coordinates: a pair of similarity 0.8 shares no band with probability 5e-8."""
 
+PART_ROWS, PART_ITEMS = 1024, 1 << 21
+"""Members, and elements of their differences from the hub, in one part of a bucket."""
+
 _U = np.uint64
 
 
@@ -109,6 +112,59 @@ def _sets(words: int):
     return work
 
 
+def _stars(rows: list[tuple], percent: int) -> dict[str, list[int]]:
+    """Links between different components of one group, as stars; rows: bucket, p, q, own, id, n, component, apart."""
+    within = rows[0][1] == rows[0][2]
+    own, n, component = (np.array([r[i] for r in rows], np.int64) for i in (3, 5, 6))
+    sizes = np.array([len(r[7]) for r in rows])
+    items, of = np.unique(np.concatenate([np.array(r[7], np.int64) for r in rows]), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    often = np.bincount(of, minlength=len(items)) > 1  # the others are in no intersection
+    row, of = row[often[of]], (np.cumsum(often) - 1)[of[often[of]]]
+    order = np.argsort(of, kind="stable")
+    row, of = row[order], of[order]
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    for start in range(0, int(often.sum()), 2048):
+        a, b = np.searchsorted(of, [start, start + 2048])
+        part = np.zeros((len(rows), 2048), np.float32)
+        part[row[a:b], of[a:b] - start] = 1
+        common += part @ part.T
+    differ = sizes[:, None] + sizes[None, :] - 2 * common.astype(np.int64)
+    whole = n[:, None] + n[None, :]
+    linked = 100 * (whole - differ) >= percent * (whole + differ)
+    linked &= component[:, None] < component[None, :]
+    if not within:
+        linked &= own[:, None] != own[None, :]
+    x, y = np.nonzero(linked)
+    label = np.arange(len(rows))
+    while True:
+        low = np.minimum(label[x], label[y])
+        if (label[x] == low).all() and (label[y] == low).all():
+            break
+        for side in (x, y):
+            np.minimum.at(label, label[side], low)
+            np.minimum.at(label, side, low)
+        label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(rows)))
+    return {"a": [rows[i][4] for i in moved], "b": [rows[i][4] for i in label[moved]]}
+
+
+def _compared(percent: int):
+    def work(batches):
+        now, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if row[:3] != now:
+                    if len(rows) > 1:
+                        yield _stars(rows, percent)
+                    now, rows = row[:3], []
+                rows.append(row)
+        if len(rows) > 1:
+            yield _stars(rows, percent)
+
+    return work
+
+
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -118,10 +174,11 @@ def near_duplicates(
     (words: runs without ASCII white space, A-Z lower-cased).  ``component_id`` is the smallest id reachable over
     links, ``kept`` marks the document that bears it.
 
-    Equal sets are one class at once, so copies never meet pairwise.  In each band's bucket the members are
-    compared with one hub, then with two, four ... more, always from different components, until a bucket's
-    members are one component or every pair of components in it has been compared: no link is lost, and a bucket
-    of near copies costs about one comparison a member.  All state is in tables; the driver sees counts.
+    Equal sets are one class at once, so copies never meet pairwise.  In each band's bucket every member is compared
+    with one hub, the smallest id.  If that leaves a bucket in several components, its members are compared with each
+    other by their differences from the hub: |A sym B| is that of the two differences, which are short for near copies.
+    Such buckets are cut into parts, a group holds two parts, compares by matrix products and gives back stars of
+    links, so neither rows nor state grow with the pairs, and no link is lost.  The driver sees counts.
 
     Null or blank texts have no shingles and are linked with nothing.  Null ids stay rows of their own, without
     links.  Rows that repeat an id are one vertex.  An empty table gives an empty result.
@@ -132,53 +189,40 @@ def near_duplicates(
     classes = stored(classes.where("key is not null and c > 1").select("key", "rep"))
     labelled = marked.join(classes, "key", "left").withColumn("rep", F.coalesce("rep", "id"))
     buckets = labelled.where("n > 0 and id = rep").select("id", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
-    members = stored(buckets.join(shared.select("bucket"), "bucket").select("bucket", "id", "n"))
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("c"))
+    shared = shared.where("hub < last").select("bucket", "hub", (F.col("c") > 2).alias("more"))
+    members = stored(buckets.join(shared, "bucket").select("bucket", "hub", "id", "n", "more"))
 
-    wanted = members.select("id").distinct()
+    pairs = stored(members.where("id <> hub").groupBy("hub", "id").agg(F.max("more").alias("more")))
+    wanted = pairs.select("id").union(pairs.select("hub")).distinct()
     sets = in_arrow(table.join(wanted, "id", "left_semi"), _sets(words), "id long, items array<long>")
     sets = stored(sets.dropDuplicates(["id"]))
-    links = tested = labels = None
-    hubs = 1
-    while True:
-        if labels is None:
-            known = members.withColumn("component", F.col("id"))
-            chosen = known.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
-            chosen = chosen.where("hub < last").select("bucket", "hub", F.col("hub").alias("own"))
-        else:
-            known = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-            known = stored(known.join(mixed.where("x < y").select("bucket"), "bucket"))
-            parts = known.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min("id").alias("hub"))
-            best = F.min(F.struct("c", "hub", "component")).alias("s")
-            chosen = parts.groupBy("bucket", F.pmod(F.xxhash64("component"), F.lit(hubs)).alias("g")).agg(best)
-            chosen = chosen.select("bucket", F.col("s.hub").alias("hub"), F.col("s.component").alias("own"))
-        chosen = stored(chosen)
-        if chosen.isEmpty():
-            break
-        sized = known.join(chosen, "bucket").where("component <> own")
-        pairs = sized.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-        both = F.size(F.array_intersect("x", "y")).cast("long")
-        whole = F.size("x").cast("long") + F.size("y")
-        close = 100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y"))
-        found = pairs.join(left, "a").join(right, "b").where(close)
-        found = stored(found.where(100 * both >= percent * (whole - both)).select("a", "b"))
-        links = found if links is None else links.union(found)
-        labels = stored(components(links))
-        gone = chosen.select("bucket", F.col("hub").alias("id"))
-        members = known.drop("component").join(gone, ["bucket", "id"], "left_anti")
-        hubs *= 2
-    if labels is None:
-        result = labelled.withColumn("component_id", F.col("rep"))
-    else:
-        result = labelled.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        result = result.withColumn("component_id", F.coalesce("component", "rep"))
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    whole = F.size("x").cast("long") + F.size("y")
+    met = pairs.join(sets.withColumnRenamed("items", "x"), "id")
+    met = met.join(sets.select(F.col("id").alias("hub"), F.col("items").alias("y")), "hub")
+    apart = F.array_union(F.array_except("x", "y"), F.array_except("y", "x"))
+    linked = (100 * both >= percent * (whole - both)).alias("linked")
+    met = stored(met.select("hub", "id", linked, F.when(F.col("more"), apart).alias("apart")))
+    links = met.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    labels = stored(components(links))
+
+    rest = members.where("more and id <> hub").select("bucket", "hub", "id", "n").join(labels, "id", "left")
+    rest = stored(rest.withColumn("component", F.coalesce("component", "id")))
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q")
+    rest = stored(rest.join(mixed.select("bucket"), "bucket").join(met.select("hub", "id", "apart"), ["hub", "id"]))
+    weight = F.greatest(F.count("*") / PART_ROWS, F.sum(F.size("apart")) / PART_ITEMS)
+    sizes = rest.groupBy("bucket").agg(F.ceil(weight).alias("cuts"))
+    cut = rest.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    group = F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")
+    cut = cut.select("bucket", *group, "own", "id", "n", "component", "apart")
+    cut = cut.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    more = stored(in_arrow(cut, _compared(percent), "a long, b long"))
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    result = labelled.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    result = result.withColumn("component_id", F.coalesce("component", "rep"))
     return result.select(
         F.col("id").alias(id),
         F.col("n").alias("n_shingles"),
