@@ -304,6 +304,20 @@ def test_licenses(docs, none, texts):
     assert not licenses.scan(none).collect()
 
 
+def test_licenses_in_a_row():
+    search = licenses.Search(licenses.PHRASES, licenses.NOTICES)
+    found = lambda text: [(s["label"], s["first"], s["last"], s["edits"]) for s in search(text.split())[0]]
+    slipped = [("mit", k, k + 1, 1) for k in (0, 2, 4)]
+    assert found("mit licence mit licence mit licence mit license") == [*slipped, ("mit", 6, 7, 0)]
+    assert found("mit license mit licence") == [("mit", 0, 1, 0), ("mit", 2, 3, 1)]
+    assert found("mozila publc license mozilla public license") == [("mpl", 0, 2, 2), ("mpl", 3, 5, 0)]
+    assert search("mit license mit license".split())[1] == [0, 2]
+    for label, notice in [(v, k) for k, v in licenses.NOTICES.items()]:
+        n, slip = notice.count(" ") + 1, notice[:-3] + notice[-2:]  # one letter less
+        of = [s[1:] for s in found(f"{slip} {slip} {notice} {slip} {notice}") if s[0] == label]
+        assert of == [(n * j, n * j + n - 1, int(j not in (2, 4))) for j in range(5)], label
+
+
 def test_warc(spark, tmp_path):
     rows = [
         (3, "http://a/\r\nx ü", "<p>one</p>\r\n\r\nWARC/1.1\r\n", 1), (1, None, "<p>one</p>\r\n\r\nWARC/1.1\r\n", 1),

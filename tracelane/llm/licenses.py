@@ -2,12 +2,14 @@
 
 A notice that occurs with at most k edits, cut in k + 1 pieces, keeps one piece whole.  The pieces of all notices are
 sought in one pass; around each find the ``regex`` library matches the whole notice with at most k edits and gives
-the span and the edits.
+the span and the edits.  Every seed's window is searched apart, as the best match of a longer stretch would hide those
+before it; finds are taken best first, and what they leave of other windows is searched again.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 
 import ahocorasick
 import regex
@@ -60,44 +62,62 @@ class Search:
             self.seeds.add_word(seed, (len(seed), uses))
         self.seeds.make_automaton()
 
+    @staticmethod
+    def _finds(fuzzy: regex.Pattern, least: int, text: str, spans: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Matches (start, end, edits) inside the spans, those with fewest edits first, none overlapping another."""
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def seek(a: int, b: int) -> None:
+            if b - a >= least and (m := fuzzy.search(text, a, b)):
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for a, b in spans:
+            seek(a, min(b, len(text)))
+        found: list[tuple[int, int, int]] = []  # by start; as none overlaps another, also by end
+        while heap:
+            slips, start, end, a, b = heapq.heappop(heap)
+            at = bisect.bisect_left(found, (start,))
+            if at and found[at - 1][1] > start:
+                at -= 1
+            if at < len(found) and found[at][0] < end:
+                start, end, _ = found[at]
+            else:
+                found.insert(at, (start, end, slips))
+            seek(a, min(b, start))
+            seek(max(a, end), b)
+        return found
+
     def __call__(self, words: list[str]) -> tuple[list[dict], list[int]]:
         """Matches in order (notice, label, first word, last word, edits) and the starts of the exact phrases."""
         text = f" {' '.join(words)} "
-        windows: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (size, uses) in self.seeds.iter(text):
             for k, at in uses:
                 notice, _, edits, _, _ = self.notices[k]
                 start = end + 1 - size - at
-                windows.setdefault(k, []).append((max(0, start - edits - 1), start + len(notice) + edits + 1))
+                windows.setdefault(k, set()).add((max(0, start - edits - 1), start + len(notice) + edits + 1))
         if not windows:
             return [], []
         blanks = [i for i, c in enumerate(text) if c == " "]
-        matches, exact = set(), []
+        matches, exact = set(), set()
         for k, spans in windows.items():
             notice, label, edits, fuzzy, counted = self.notices[k]
-            spans.sort()
-            merged = [list(spans[0])]
-            for a, b in spans[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                if counted:
-                    whole = f" {notice} "
+            if counted:
+                whole = f" {notice} "
+                for a, b in spans:
                     at = text.find(whole, max(0, a - 1), b + 2)
                     while at >= 0:
-                        exact.append(bisect.bisect_left(blanks, at))
-                        matches.add((exact[-1], exact[-1] + notice.count(" "), k, 0))
+                        first = bisect.bisect_left(blanks, at)
+                        matches.add((first, first + notice.count(" "), k, 0))
+                        exact.add(first)
                         at = text.find(whole, at + 1, b + 2)
-                if edits or not counted:
-                    for m in fuzzy.finditer(text, a, min(b, len(text)), overlapped=False):
-                        found = m.group()
-                        first = bisect.bisect_right(blanks, m.start() + len(found) - len(found.lstrip())) - 1
-                        last = bisect.bisect_left(blanks, m.end() - len(found) + len(found.rstrip())) - 1
-                        slips = sum(m.fuzzy_counts)
-                        if slips or not counted:
-                            matches.add((first, max(first, last), k, slips))
+            if edits or not counted:
+                for start, end, slips in self._finds(fuzzy, len(notice) - edits, text, spans):
+                    found = text[start:end]
+                    first = bisect.bisect_right(blanks, start + len(found) - len(found.lstrip())) - 1
+                    last = bisect.bisect_left(blanks, end - len(found) + len(found.rstrip())) - 1
+                    if slips or not counted:
+                        matches.add((first, max(first, last), k, slips))
         rows = [
             {"notice": self.notices[k][0], "label": self.notices[k][1], "first": a, "last": b, "edits": e}
             for a, b, k, e in sorted(matches)
