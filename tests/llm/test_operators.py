@@ -178,6 +178,22 @@ def test_contamination_in_blocks(spark, docs, monkeypatch):
     assert pick(decontaminate.contamination(unique, benchmark)) == whole
 
 
+def test_contamination_in_blocks_keeps_rows_apart(spark, monkeypatch):
+    say = lambda *numbers: " ".join(f"w{k}" for k in numbers)
+    benchmark = [(k, say(*range(40 * k, 40 * k + 30))) for k in range(6)] + [(9, say(*range(20, 35), *range(40, 50)))]
+    both = f"{benchmark[0][1]} {benchmark[1][1]} {say(*range(900, 940))}"
+    rows = [(None, benchmark[k][1]) for k in range(4)] + [(None, say(*range(700, 730)))] * 2
+    rows += [(7, benchmark[4][1]), (7, benchmark[5][1]), (7, benchmark[5][1]), (8, both), (8, both), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame(benchmark, "item_id long, text string")
+    show = lambda df: sorted(map(repr, df.collect()))
+    whole = {carry: show(decontaminate.contamination(docs, items, carry=carry)) for carry in (False, True)}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
+    for carry, want in whole.items():
+        assert len(want) == len(rows)
+        assert show(decontaminate.contamination(docs, items, carry=carry)) == want
+
+
 def test_token_counts(docs, none, texts):
     from tokenizers import Tokenizer
 

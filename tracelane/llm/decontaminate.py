@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import carried, carried_type, in_arrow, raw, slices
+from tracelane.llm.common import carried, carried_type, in_arrow, raw, slices, stored
 
 BLOCK_BYTES = 16 << 20
 """Benchmark text that one pass over the documents searches for; a larger benchmark takes several passes."""
@@ -121,6 +121,21 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda s: s["n"])
 
 
+def _joined(spans: Column) -> Column:
+    """Spans that are sorted by start, with those that overlap or touch made one."""
+    start = F.array().cast("array<struct<start:long,length:long>>")
+
+    def step(done, s):
+        last = F.try_element_at(done, F.lit(-1))
+        stop = F.greatest(last["start"] + last["length"], s["start"] + s["length"])
+        longer = F.struct(last["start"].alias("start"), (stop - last["start"]).alias("length"))
+        more = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
+        touches = (F.size(done) > 0) & (s["start"] <= last["start"] + last["length"])
+        return F.when(touches, more).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, start, step)
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -141,8 +156,9 @@ def contamination(
 
     ``carry`` adds ``row``, the input row as a struct.
 
-    Nothing is shuffled: the benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` text, one pass over
-    the documents for each.  (Several passes are merged by row, so ids must then be unique.)
+    The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` text.  With one block nothing is shuffled.
+    With several, each row gets a key in a stored copy of the texts, one pass over them for each block is stored too, so
+    that the driver holds one block at a time, and the passes are merged by that key.
 
     Null texts have no words.  Null item ids are dropped.  Repeated rows are judged alike.  Empty tables give no
     rows, or documents without hits.
@@ -152,18 +168,32 @@ def contamination(
     kind = dict(table.dtypes)["id"]
     schema = f"id {kind}, n_words long, spans array<struct<start:long,length:long>>, items array<long>"
     schema += carried_type(docs) * carry
-    found = [
-        in_arrow(table, _search(Windows([x for x in block if x[0] is not None], window)), schema)
-        for block in _blocks(benchmark, item, item_text)
-    ]
-    result = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            result = result.union(more)
-        result = result.groupBy("id", "n_words", *["row"] * carry).agg(
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+
+    def searched(rows: DataFrame, block: list[tuple], schema: str) -> DataFrame:
+        return in_arrow(rows, _search(Windows([x for x in block if x[0] is not None], window)), schema)
+
+    blocks = _blocks(benchmark, item, item_text)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        result = searched(table, block, schema)
+    else:
+        keyed = stored(table.withColumn("key", F.monotonically_increasing_id()))
+        texts, found = keyed.select(F.col("key").alias("id"), "text"), []
+        plain = "id long, n_words long, spans array<struct<start:long,length:long>>, items array<long>"
+        while block is not None:
+            one = searched(texts, block, plain)
+            found.append(stored(one.where(F.size("items") > 0) if found else one))
+            block, more = more, next(blocks, None)
+        hits = found[0]
+        for one in found[1:]:
+            hits = hits.union(one)
+        hits = hits.groupBy(F.col("id").alias("key")).agg(
+            F.first("n_words").alias("n_words"),
+            _joined(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
+        rows = keyed.select("key", "id", *["row"] * carry)
+        result = rows.join(hits, "key").select("id", "n_words", "spans", "items", *["row"] * carry)
     hit = F.col("n_hit")
     return (
         result.withColumn("n_hit", _merged(F.col("spans")))
