@@ -11,8 +11,8 @@ from tracelane.llm.queries import fold
 
 QUALITY = 0.3
 """Documents with a lower score go."""
-REPEAT_BYTES = 240
-"""Later copies of strings of this length go: below the length of 50 words, above that of common lines."""
+REPEAT_WORDS = 51
+"""Later copies of passages of at least so many words go, however short the words are."""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated passages; those of which nothing but blanks is left go."""
-    done = suffix.remove_repeats(docs, size=REPEAT_BYTES, keep="first", carry=True)
+    done = suffix.remove_repeats(docs, size=REPEAT_WORDS, keep="first", carry=True, words=True)
     left = F.col("kept").cast("string")
     text = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(left)
     cut = done.withColumn("left", text).where("kept is null or length(trim(left)) > 0")

@@ -10,6 +10,8 @@ In a shard, suffixes are put in order to the depth ``size`` by doubling ranks.
 together, ordered by place; then the previous smaller place of a suffix is its neighbour before, the next smaller
 place's counterpart the one after.  A suffix with the first has a previous factor of at least ``size`` bytes (it is a
 later copy); without it but with the second it is the first of several copies.
+
+With words for units, a text is the row of its words' 64-bit hashes, and all the rest is done on these.
 """
 
 from __future__ import annotations
@@ -59,6 +61,22 @@ class Hashes:
         return mix((sums[end] - sums[start]) * back[start])
 
 
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word, that is what ``bytes.split`` gives."""
+    text = np.frombuffer(data, np.uint8)
+    edges = np.diff(np.concatenate([[True], _BLANK[text], [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    h = Hashes(text)
+    return mix(h.of(0, start, end) ^ mix(h.of(1, start, end) + (end - start).astype(_U))), start
+
+
+def _units(data: bytes, words: bool) -> np.ndarray:
+    return words_of(data)[0] if words else np.frombuffer(data, np.uint8)
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """Smallest key of each run of ``width``."""
     n = len(keys) - width + 1
@@ -72,7 +90,7 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(text: np.ndarray, size: int, part: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, content hash, start and length of each stretch of a text of at least ``size`` bytes."""
+    """Anchor hash, content hash, start and length of each stretch of a text of at least ``size`` units."""
     h = Hashes(text)
     n = len(text)
     parts = h.of(0, slice(0, n - part + 1), slice(part, n + 1))
@@ -86,13 +104,13 @@ def stretches(text: np.ndarray, size: int, part: int) -> tuple[np.ndarray, ...]:
     return parts[at[first]], content, first, end - first
 
 
-def _anchored(size: int, part: int, first: bool):
+def _anchored(size: int, part: int, first: bool, words: bool):
     def work(batches):
         for batch in slices(batches):
             out = {k: [] for k in ("n_bytes", "own", "found")}
             for value in batch.column(1):
                 data = value.as_py()
-                text = np.frombuffer(data, np.uint8)
+                text = _units(data, words)
                 own, found = [], []
                 if len(text) >= size:
                     anchor, content, start, length = stretches(text, size, part)
@@ -117,33 +135,35 @@ def _anchored(size: int, part: int, first: bool):
     return work
 
 
-def _cut_out(batches):
-    for batch in slices(batches):
-        out = {k: [] for k in ("anchor", "id", "start", "hot", "data")}
-        for id, text, wanted in zip(*(batch.column(i) for i in range(3))):
-            data = text.as_py()
-            for w in wanted.as_py():
-                out["anchor"].append(w["anchor"])
-                out["id"].append(id.as_py())
-                out["start"].append(w["start"])
-                out["hot"].append(w["hot"])
-                out["data"].append(data[w["start"] : w["start"] + w["length"]])
-        yield out
+def _cut_out(words: bool):
+    def work(batches):
+        for batch in slices(batches):
+            out = {k: [] for k in ("anchor", "id", "start", "hot", "data")}
+            for id, text, wanted in zip(*(batch.column(i) for i in range(3))):
+                data = _units(text.as_py(), words)
+                for w in wanted.as_py():
+                    out["anchor"].append(w["anchor"])
+                    out["id"].append(id.as_py())
+                    out["start"].append(w["start"])
+                    out["hot"].append(w["hot"])
+                    out["data"].append(data[w["start"] : w["start"] + w["length"]].tobytes())
+            yield out
 
+    return work
 
-def repeats(parts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the strings of ``size`` bytes that repeat in the joined ``parts`` (inside one part each), with the
+
+def repeats(parts: list[bytes], size: int, words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the strings of ``size`` units that repeat in the joined ``parts`` (inside one part each), with the
     previous smaller and next larger place of an equal one, -1 where there is none."""
-    text = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum(list(map(len, parts)))
-    room = np.repeat(ends, list(map(len, parts))) - np.arange(len(text))
-    depth, rank = 8, np.zeros(len(text), np.int64)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    at = np.flatnonzero(room >= min(8, size))
-    word = np.zeros(len(at), _U)
-    for i in range(min(8, size)):
+    text = np.frombuffer(b"".join(parts), _U if words else np.uint8)
+    lengths = [len(p) // text.itemsize for p in parts]
+    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(text))
+    depth, rank = 1 if words else min(8, size), np.zeros(len(text), np.int64)
+    at = np.flatnonzero(room >= depth)
+    word = text[at].astype(_U)
+    padded = np.concatenate([text, np.zeros(8, text.dtype)])
+    for i in range(1, depth):
         word = word << _U(8) | padded[at + i]
-    depth = min(8, size)
     _, rank[at] = np.unique(word, return_inverse=True)
     while depth < size:
         deeper = min(2 * depth, size)
@@ -172,15 +192,15 @@ def _runs(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], gap + 1])], starts[np.concatenate([gap, [len(starts) - 1]])] + size
 
 
-def _sharded(size: int, first: bool):
+def _sharded(size: int, first: bool, words: bool):
     def flush(rows: list[tuple]):
         rows.sort(key=lambda r: (r[1], r[2]))  # document order: an earlier place is an earlier copy
         parts = [r[3] for r in rows]
-        places, before, _ = repeats(parts, size)
+        places, before, _ = repeats(parts, size, words)
         if first:
             places = places[before >= 0]
         places.sort()
-        begin = np.cumsum([0, *map(len, parts)])
+        begin = np.cumsum([0, *(len(p) // (8 if words else 1) for p in parts)])
         of = np.searchsorted(begin, places, "right") - 1
         out = {"id": [], "start": [], "length": []}
         for k in np.unique(of):
@@ -206,15 +226,16 @@ def _sharded(size: int, first: bool):
     return work
 
 
-def _digests(size: int):
+def _digests(size: int, words: bool):
     def work(batches):
         for batch in batches:
             for id, start, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                h = Hashes(np.frombuffer(data, np.uint8))
-                n = len(data) - size + 1
+                units = np.frombuffer(data, _U if words else np.uint8)
+                h = Hashes(units)
+                n = len(units) - size + 1
                 yield {
-                    "x": h.of(0, slice(0, n), slice(size, len(data) + 1)).view(np.int64),
-                    "y": h.of(1, slice(0, n), slice(size, len(data) + 1)).view(np.int64),
+                    "x": h.of(0, slice(0, n), slice(size, len(units) + 1)).view(np.int64),
+                    "y": h.of(1, slice(0, n), slice(size, len(units) + 1)).view(np.int64),
                     "id": [id] * n,
                     "start": np.arange(start, start + n),
                 }
@@ -222,10 +243,12 @@ def _digests(size: int):
     return work
 
 
-def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 400, keep: str = "first") -> DataFrame:
-    """``id, spans`` (array of start, length, in bytes, may overlap) for documents with repeated strings.
+def repeated_spans(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 400, keep: str = "first", words: bool = False
+) -> DataFrame:
+    """``id, spans`` (array of start, length, in units, may overlap) for documents with repeated strings.
 
-    A string of ``size`` bytes counts as repeated if it also starts elsewhere, in the same document or another one;
+    Units are bytes or, with ``words``, words.  A string of ``size`` units counts as repeated if it also starts elsewhere, in the same document or another one;
     with ``keep="first"`` its first place (by id, then start) does not count, with ``keep="none"`` all places do.
     """
     if keep not in ("first", "none") or size < 16:
@@ -235,7 +258,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     table = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), raw(text).alias("text"))
     stretch = "struct<anchor:long,content:long,start:long,length:long,times:int>"
     schema = f"id long, n_bytes long, own array<struct<start:long,length:long>>, found array<{stretch}>"
-    marked = stored(in_arrow(table.where(F.length("text") >= size), _anchored(size, part, first), schema))
+    marked = stored(in_arrow(table.where(F.length("text") >= size), _anchored(size, part, first, words), schema))
     found = marked.select("id", F.explode("found").alias("f")).select("id", "f.*")
 
     anchors = found.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1").select("anchor")
@@ -244,7 +267,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     place = F.struct("id", "start", "length")
     classes = shared.groupBy("anchor", "content").agg(F.sum("times").alias("c"), F.min(place).alias("p"))
     classes = stored(classes.select("anchor", "content", "c", "p.*"))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.sum("length").alias("bytes")).where("k > 1")
+    several = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("length") * (8 if words else 1)).alias("bytes")).where("k > 1")
 
     copies = classes.where("c > 1").select("anchor", "content", F.col("id").alias("i"), F.col("start").alias("s"))
     members = shared.join(copies, ["anchor", "content"])
@@ -257,15 +280,15 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "length", "hot")).alias("wanted"))
     pieces = in_arrow(
         table.join(wanted, "id").select("id", "text", "wanted"),
-        _cut_out,
+        _cut_out(words),
         "anchor long, id long, start long, hot boolean, data binary",
     )
     pieces = stored(pieces)
     columns = ["anchor", "id", "start", "data"]
     cold = pieces.where("not hot").select(*columns)
     cold = cold.repartition("anchor").sortWithinPartitions("anchor")
-    spans = spans.union(in_arrow(cold, _sharded(size, first), "id long, start long, length long"))
-    strings = in_arrow(pieces.where("hot").select(*columns), _digests(size), "x long, y long, id long, start long")
+    spans = spans.union(in_arrow(cold, _sharded(size, first, words), "id long, start long, length long"))
+    strings = in_arrow(pieces.where("hot").select(*columns), _digests(size, words), "x long, y long, id long, start long")
     seen = strings.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.struct("id", "start")).alias("p")).where("c > 1")
     seen = seen.select("x", "y", F.col("p.id").alias("i"), F.col("p.start").alias("s"))
     again = strings.join(seen, ["x", "y"])
@@ -293,13 +316,17 @@ def _covered(text: bytes, spans: list[dict] | None, whole: bool) -> list[tuple[i
     return [(a, b) for a, b in merged if a < b]
 
 
-def _removed(whole: bool):
+def _removed(whole: bool, words: bool):
     def work(batches):
         for batch in slices(batches):
             out = {k: [] for k in ("n_bytes", "removed", "kept", "kept_sha256")}
             for text, spans in zip(batch.column(1), batch.column(2)):
                 data = text.as_py()
-                runs = _covered(data, spans.as_py(), whole)
+                runs = _covered(data, spans.as_py(), whole and not words)
+                if words and runs:  # each word with the blanks behind it, the first also with those before it
+                    begin = np.append(words_of(data)[1], len(data)).tolist()
+                    runs = [(begin[a] if a else 0, begin[b]) for a, b in (np.minimum(r, len(begin) - 1).tolist() for r in runs)]
+                    runs = [(a, b) for a, b in runs if a < b]
                 at, parts = 0, []
                 for a, b in runs:
                     parts.append(data[at:a])
@@ -323,6 +350,7 @@ def remove_repeats(
     keep: str = "first",
     whole_letters: bool = True,
     carry: bool = False,
+    words: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: ``<id>, n_bytes, removed, kept, kept_sha256``.
 
@@ -331,14 +359,17 @@ def remove_repeats(
     ``kept`` is the rest, null when nothing was removed; ``whole_letters`` keeps UTF-8 letters that a run would cut.
     ``carry`` adds ``row``, the input row as a struct, so that no join has to bring it back.
 
+    With ``words``, ``size`` counts words: bytes between blanks (ASCII white space).  Rows of ``size`` equal words are
+    repeated whatever blanks stand between them, and words go whole, with the blanks behind them.
+
     Null and short texts lose nothing.  Rows with a null id lose nothing and are no copies of others.  Rows that
     repeat an id should have equal texts: they are one place, and each is cut alike.  Matches never cross documents.
     An empty table gives no rows.
     """
-    spans = repeated_spans(docs, id, text, size, keep)
+    spans = repeated_spans(docs, id, text, size, keep, words)
     rest = [carried(docs)] if carry else []
     table = docs.select(F.col(id).cast("long").alias("id"), raw(text).alias("text"), *rest)
     schema = "id long, n_bytes long, removed array<struct<start:long,length:long>>, kept binary, kept_sha256 string"
     joined = table.join(spans, "id", "left").select("id", "text", "spans", *["row"] * carry)
-    done = in_arrow(joined, _removed(whole_letters), schema + carried_type(docs) * carry)
+    done = in_arrow(joined, _removed(whole_letters, words), schema + carried_type(docs) * carry)
     return done.withColumnRenamed("id", id)
