@@ -28,10 +28,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates (five words, similarity 0.8)."""
+    """One document, that with the smallest id, of each group of near duplicates (five words, similarity 0.8).
+
+    Rows with equal ids and texts are one document.
+    """
     marked = minhash.near_duplicates(docs)
     gone = marked.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = stored(again.join(gone, "doc_id", "left_anti"))
+    once = docs.join(gone.union(again), "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(rest.select(*docs.columns))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

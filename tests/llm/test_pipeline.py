@@ -63,5 +63,15 @@ def test_repeats_by_brute_force(spark):
             assert {r["doc_id"]: r["text"].split() for r in left.collect() if r["text"]} == {i: w for i, w in want.items() if texts[i]}
 
 
+def test_near_duplicates_drop_repeated_rows(spark):
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(1, say(1)), (1, say(1)), (2, say(1) + " more"), (3, say(3)), (3, say(3)), (4, say(4)), (None, say(5)), (None, say(5))]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert left.columns == docs.columns
+    kept = [r["doc_id"] for r in left.collect()]
+    assert sorted(i for i in kept if i is not None) == [1, 3, 4] and kept.count(None) == 2
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
