@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelane.llm import chat, decontaminate, embeddings, licenses, minhash, packing, quality, suffix, tokens, warc
+from tracelane.llm import (
+    chat,
+    decontaminate,
+    embeddings,
+    licenses,
+    minhash,
+    packing,
+    periods,
+    quality,
+    repair,
+    slack,
+    suffix,
+    tokens,
+    warc,
+)
 from tracelane.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +148,66 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
+
+
+@_query()
+def op11_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return slack.pack(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=1024, last=0)
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; in a tenth of the rows the words from one on are copies of some words of the text in turn."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    blank = r"[\x20\x09-\x0D]+"
+    chosen = docs.select("doc_id", "text", g.alias("g"), (h % 10 == 0).alias("chosen"))
+    trimmed = F.regexp_replace("text", f"^{blank}|{blank}$", "")
+    words = F.when(F.col("chosen") & (F.length(trimmed) > 0), F.split(trimmed, blank)).alias("w")
+    cut = chosen.select("doc_id", "text", "g", words)
+    cut = cut.withColumn("n", F.size("w").cast("long")).withColumn("a", F.col("g") % F.col("n"))
+    cut = cut.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    n, a, p = (F.col(c).cast("int") for c in "nap")
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", a + 1, p), times)), F.lit(1), n - a)
+    planted = F.concat_ws(" ", F.slice("w", F.lit(1), a), tail)
+    return cut.select("doc_id", F.when(F.col("w").isNull(), F.col("text")).otherwise(planted).alias("text"))
+
+
+@_query()
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic_runs(with_planted_period(_table(spark, folder, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), -r["start"], -r["period"])))
+    found = found.withColumn("best", best.cast("struct<length:long,start:long,period:long>"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("best.length * 1000 div -best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``id, turn, role, text, rows``: conversations with planted faults; ``rows`` of a dropped row is 0."""
+    space = F.lit(" ")
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), space) if c else F.lit(":") for c in ("conv_id", "", "turn")])
+    fault = F.crc32(key.cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    return turns.select(
+        F.col("conv_id").alias("id"),
+        F.col("turn").cast("long").alias("turn"),
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("rows"),
+    )
+
+
+@_query()
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    report, _ = repair.repair_counted(damaged(_table(spark, folder, "conversations")), "conv_id")
+    return report
