@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelane.functions import if_else, strict_avg
+from tracelane.operators.intervals import running_totals, spread
 from tracelane.operators.joins import natural_join
 from tracelane.operators.skew import attach_group_facts, blocked, carried, heaviest
 
@@ -82,14 +83,63 @@ def timecourse(
     return _with_interval(_stack(wide, cell, aois), bin, interval)
 
 
+def timecourse_of_runs(
+    runs: DataFrame,
+    aois: list[str],
+    subject: str,
+    by: list[str],
+    interval: float = 20,
+    na: str = "propagate",
+) -> DataFrame:
+    """``timecourse`` of rows that hold for a stretch of bins (``low..high``), without spreading them.
+
+    Two sweeps along the bins: one adds up each subject's rows per cell, the other the subjects' means and their
+    squares per cell; between two changes nothing has to be looked at.  Only the curves themselves are spread over
+    the bins.  The error comes from sums of squares, so values should not be far from 0 for their spread.
+    """
+    if na not in ("propagate", "skip"):
+        raise ValueError(f"unknown na rule {na!r}")
+    one, whole = F.lit(1).cast("long"), na == "propagate"
+    sums = {"__n": one}
+    for i, m in enumerate(aois):
+        sums[f"__k_{i}"] = F.col(m).isNotNull().cast("long")
+        sums[f"__s_{i}"] = F.coalesce(F.col(m).cast("double"), F.lit(0.0))
+    own = running_totals(runs, [subject, *by], sums).filter(F.col("__n") > 0)
+    sums = {"__n": one}
+    for i in range(len(aois)):
+        known, total = F.col(f"__k_{i}"), F.col(f"__s_{i}")
+        m = F.when(known == F.col("__n") if whole else known > 0, total / known)
+        sums[f"__k_{i}"] = m.isNotNull().cast("long")
+        sums[f"__s_{i}"] = F.coalesce(m, F.lit(0.0))
+        sums[f"__q_{i}"] = F.coalesce(m * m, F.lit(0.0))
+    cells = running_totals(own, by, sums).filter(F.col("__n") > 0)
+    return _curves(cells, by, aois, interval, whole)
+
+
+def _curves(cells: DataFrame, by: list[str], names: list[str], interval: float, whole: bool) -> DataFrame:
+    """Mean and error per bin from counts (``__n``; known ``__k_i``), sums and sums of squares of each measure."""
+    out = {}
+    for i in range(len(names)):
+        k, s, q = (F.col(f"__{c}_{i}") for c in "ksq")
+        known = k == F.col("__n") if whole else k > 0
+        spread_of = F.greatest(q - s * s / k, F.lit(0.0)) / (k - F.lit(1))
+        out[f"__mean_{i}"] = F.when(known, s / k)
+        out[f"__se_{i}"] = F.when(known & (k > 1), F.sqrt(spread_of) / F.sqrt(k))
+    wide = cells.select(*by, "low", "high", *[c.alias(n) for n, c in out.items()])
+    bins = spread(wide, F.col("low"), F.col("high")).withColumnRenamed("__at", "bin")
+    return _with_interval(_stack(bins, [*by, "bin"], names), "bin", interval)
+
+
 def timecourse_rows(
     df: DataFrame, aois: list[str], by: list[str], bin: str = "bin", interval: float = 20
 ) -> DataFrame:
     """Time course with mean and standard error over rows instead of over subjects.
 
-    As in the older helper, a missing value makes the mean unknown while the error skips it.
+    As in the older helper, a missing value makes the mean unknown while the error skips it, and rows without a
+    bin or condition belong to no curve.
     """
     cell = [bin, *by]
+    df = df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cell]))
     out = []
     for i, m in enumerate(aois):
         out += [

@@ -2,16 +2,20 @@
 
 Spark has no mixed-model solver.  ``subject_slopes`` (two-stage growth curve) and ``choice_logit`` (fixed
 effects only) answer the same questions with different, documented estimators.
+
+The frame exists in two forms: rows of the grid (``model_frame``), and stretches of bins with steady totals
+(``model_runs``), on which the estimates are sums in closed form and the grid is never spread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelane.functions import code_values, elog, level_code, matches, move_category
-from tracelane.operators.aggregate import _mean, _stack, _with_interval, zscore
-from tracelane.operators.skew import checkpointed
+from tracelane.operators.aggregate import _curves, _mean, _stack, _with_interval, zscore
+from tracelane.operators.intervals import running_totals, spread, sum_of_places, sum_of_squares
+from tracelane.operators.skew import salted_left_join
 
 # fixed values: contrast of the condition, order of the movement categories
 FLUENCY_CODES = {"Fluent": -0.5, "Disfluent": 0.5}
@@ -33,29 +37,174 @@ def bias_columns(df: DataFrame, mode: str = "as_written") -> DataFrame:
     )
 
 
+def chosen_rows() -> Column:
+    """True for rows of valid trials of valid, first-time, monolingual participants."""
+    return (
+        (F.col("include_ppt") == "valid")
+        & (F.col("include_trial") == "valid")
+        & (F.col("duplicate2") == "n-dup")
+        & matches("bilingual", "No")
+    )
+
+
 def model_frame(
     binned: DataFrame,
     max_seconds: float = 2.0,
     mode: str = "as_written",
     codes: dict[str, float] = FLUENCY_CODES,
 ) -> DataFrame:
-    """Rows and columns the growth-curve model is fitted on.
+    """Rows and columns the growth-curve model is fitted on, from grid rows with all attributes.
 
-    Time is standardised over the whole selected data *before* late rows are dropped.  The selection is read
-    for the moments, for the frame and again by every estimate on it, so it is checkpointed once.
+    Time is standardised over the whole selected data *before* late rows are dropped, so ``binned`` is read twice;
+    it should be a stored table.
     """
-    chosen = binned.filter(
-        (F.col("include_ppt") == "valid")
-        & (F.col("include_trial") == "valid")
-        & (F.col("duplicate2") == "n-dup")
-        & matches("bilingual", "No")
-    )
     needed = ["participant", "trial", "condition", "cohort", "bin", "time", "refprop", "disprop"]
-    chosen = checkpointed(chosen.select(*[c for c in needed if c in chosen.columns]))
+    chosen = binned.filter(chosen_rows()).select(*[c for c in needed if c in binned.columns])
     timed = chosen.withColumn("time_s", F.col("time") / F.lit(1000.0))
     named = zscore(timed, "time_s", "time_z").filter(F.col("time_s") <= max_seconds)
     framed = bias_columns(named, mode).withColumn("fluency_c", code_values("condition", codes))
-    return framed.withColumnsRenamed({"participant": "sub", "trial": "ref", "condition": "fluency"})
+    return framed.withColumnsRenamed(_NAMES)
+
+
+_NAMES = {"participant": "sub", "trial": "ref", "condition": "fluency"}
+
+
+def bin_moments(spans: DataFrame) -> Column:
+    """``n, mean, sd`` of the bins of all spans (``low..high``) as one scalar, in closed form."""
+    low, high = F.col("low"), F.col("high")
+    sums = spans.agg(
+        F.sum(high - low + 1).cast("decimal(18,0)").alias("n"),
+        F.sum(sum_of_places(low, high)).cast("double").alias("s"),
+        F.sum(sum_of_squares(low, high)).cast("double").alias("q"),
+    )
+    n, s, q = F.col("n").cast("double"), F.col("s"), F.col("q")
+    deviation = F.when(n > 1, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1)))
+    return sums.select(F.struct(n.alias("n"), (s / n).alias("mean"), deviation.alias("sd")).alias("m")).scalar()
+
+
+def standardised(bin: str | Column, moments: Column) -> Column:
+    """z-score of a bin (and so of its time) by ``bin_moments``."""
+    bin = F.col(bin) if isinstance(bin, str) else bin
+    return (bin - moments["mean"]) / F.nullif(moments["sd"], F.lit(0.0))
+
+
+def model_runs(
+    runs: DataFrame,
+    spans: DataFrame,
+    step: int,
+    max_seconds: float = 2.0,
+    mode: str = "as_written",
+    codes: dict[str, float] = FLUENCY_CODES,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """The model's rows as stretches of bins: ``sub, ref, fluency, cohort, low, high`` and the bias columns.
+
+    ``spans`` are the chosen trials (participant, trial, cohort), ``runs`` the steady stretches of all.  Late bins
+    are cut off the stretches.  ``hot`` may give the trials that are heavy in ``runs``.
+    """
+    trial = ["participant", "trial"]
+    marks = spans.select(*trial, "cohort", F.lit(True).alias("__chosen"))
+    kept = salted_left_join(runs, marks, trial, ["low"], hot).filter("__chosen")
+    last = F.lit(int(max_seconds * 1000 // step)).cast("long")
+    cut = kept.withColumn("high", F.least("high", last)).filter(F.col("low") <= F.col("high"))
+    framed = bias_columns(cut, mode).withColumn("fluency_c", code_values("condition", codes))
+    return framed.withColumnsRenamed(_NAMES)
+
+
+def frame_of_runs(runs: DataFrame, moments: Column, step: int) -> DataFrame:
+    """``model_runs`` spread over the grid, with time in seconds and standardised."""
+    rows = spread(runs, F.col("low"), F.col("high")).withColumnRenamed("__at", "bin")
+    seconds = F.col("bin") * F.lit(step) / F.lit(1000.0)
+    return rows.withColumns({"time_s": seconds, "time_z": standardised("bin", moments)}).drop("low", "high", "__from")
+
+
+def _line(n: Column, x: Column, xx: Column, y: Column, xy: Column, several: Column) -> tuple[Column, Column]:
+    """Least-squares slope and intercept from sums; null unless there are several places."""
+    slope = F.when(several, (n * xy - x * y) / (n * xx - x * x))
+    return slope, (y - slope * x) / n
+
+
+def slopes_of_runs(runs: DataFrame, y: str, by: list[str], moments: Column, subject: str = "sub") -> DataFrame:
+    """``subject_slopes`` of ``y`` on standardised time from stretches of bins.
+
+    A stretch adds its number of bins, their sum and the sum of their squares, and the first two times ``y``.  The
+    line is fitted on bins; the moments only turn it.
+    """
+    low, high, v = F.col("low"), F.col("high"), F.col(y).cast("double")
+    size, places = high - low + 1, sum_of_places(low, high).cast("double")
+
+    def total(c: Column) -> Column:
+        return F.sum(F.when(v.isNotNull(), c))
+
+    sums = runs.groupBy(subject, *by).agg(
+        F.coalesce(total(size), F.lit(0)).cast("long").alias("n"),
+        total(places).alias("__x"),
+        total(sum_of_squares(low, high)).cast("double").alias("__xx"),
+        total(size * v).alias("__y"),
+        total(places * v).alias("__xy"),
+        (F.min(F.when(v.isNotNull(), low)) < F.max(F.when(v.isNotNull(), high))).alias("__several"),
+    )
+    slope, intercept = _line(*[F.col(c) for c in ("n", "__x", "__xx", "__y", "__xy", "__several")])
+    lines = sums.select(subject, *by, slope.alias("__slope"), intercept.alias("__at_0"), "n", moments.alias("__m"))
+    return lines.select(
+        subject,
+        *by,
+        (F.col("__slope") * F.col("__m.sd")).alias("slope"),
+        (F.col("__at_0") + F.col("__slope") * F.col("__m.mean")).alias("intercept"),
+        "n",
+    )
+
+
+def fitted_of_runs(
+    runs: DataFrame, by: list[str], y: str = "elog_bias", subject: str = "sub", interval: float = 20
+) -> DataFrame:
+    """Observed and fitted time courses (``fitted_timecourse``, each subject's line fitted here) from stretches of bins.
+
+    A first sweep adds up each subject's rows; the line comes from the same stretches.  Where the same subjects are
+    present, the mean of their lines is a line and its variance a parabola: the second sweep adds up intercepts,
+    slopes, their squares and products, and the bin enters only where the curves are spread.  A line fitted on
+    standardised time has the same values.
+    """
+    one, v = F.lit(1).cast("long"), F.col(y).cast("double")
+    sums = {"__n": one, "__k": v.isNotNull().cast("long"), "__s": F.coalesce(v, F.lit(0.0))}
+    own = running_totals(runs, [subject, *by], sums).filter(F.col("__n") > 0)
+    whole = Window.partitionBy(subject, *by)
+    low, high, k, s = F.col("low"), F.col("high"), F.col("__k"), F.col("__s")
+    places = sum_of_places(low, high).cast("double")
+    parts = {
+        "__c": k * (high - low + 1),
+        "__x": k * places,
+        "__xx": k * sum_of_squares(low, high).cast("double"),
+        "__y": F.when(k > 0, s * (high - low + 1)),
+        "__xy": F.when(k > 0, s * places),
+    }
+    totals = {name: F.sum(c).over(whole) for name, c in parts.items()}
+    known = k > 0
+    totals["__several"] = F.min(F.when(known, low)).over(whole) < F.max(F.when(known, high)).over(whole)
+    b, a = _line(*[F.col(c) for c in totals])
+    curves = own.withColumns(totals).select(
+        *by,
+        "low",
+        "high",
+        F.when(F.col("__k") == F.col("__n"), F.col("__s") / F.col("__n")).alias("__m"),
+        a.alias("__a"),
+        b.alias("__b"),
+    )
+    m, a, b = F.col("__m"), F.col("__a"), F.col("__b")
+    sums = {"__n": one, "__k_0": m.isNotNull().cast("long"), "__k_1": b.isNotNull().cast("long")}
+    values = {"__s_0": m, "__q_0": m * m, "__a": a, "__b": b, "__aa": a * a, "__ab": a * b, "__bb": b * b}
+    sums |= {name: F.coalesce(c, F.lit(0.0)) for name, c in values.items()}
+    cells = running_totals(curves, by, sums).filter(F.col("__n") > 0)
+    x = F.col("__at").cast("double")
+    bins = spread(cells, low, high).select(
+        *by,
+        F.col("__at").alias("low"),
+        F.col("__at").alias("high"),
+        *["__n", "__k_0", "__k_1", "__s_0", "__q_0"],
+        (F.col("__a") + F.col("__b") * x).alias("__s_1"),
+        (F.col("__aa") + F.lit(2.0) * F.col("__ab") * x + F.col("__bb") * x * x).alias("__q_1"),
+    )
+    return _curves(bins, by, [y, "fitted"], interval, True)
 
 
 def subject_slopes(frame: DataFrame, y: str, x: str, by: list[str], subject: str = "sub") -> DataFrame:

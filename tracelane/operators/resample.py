@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelane.functions import to_bin
-from tracelane.operators import skew
+from tracelane.operators.intervals import spread
 from tracelane.operators.skew import (
     block_of,
     blocked,
@@ -53,14 +53,6 @@ def bin_mean(
     return rows.groupBy(*keys, bin.alias("bin")).agg(*means)
 
 
-def _spread(df: DataFrame, low: Column, high: Column) -> DataFrame:
-    """One row per bin of ``low..high`` (as ``__at``), built from arrays of bounded length."""
-    size = skew.BLOCK
-    pieces = df.withColumn("__from", F.explode(F.sequence(low, high, F.lit(size).cast("long"))))
-    last = F.least(F.col("__from") + F.lit(size - 1), high)
-    return pieces.withColumn("__at", F.explode(F.sequence(F.col("__from"), last)))
-
-
 def gap_fill(
     observed: DataFrame,
     keys: list[str],
@@ -102,7 +94,7 @@ def gap_fill(
     low = F.col("bin") if min_bin is None else F.greatest(F.col("bin"), F.lit(min_bin).cast("long"))
     high = F.coalesce(F.col("__next") - F.lit(1), F.col("bin"))
     kept = runs.withColumns({"__low": low, "__high": high}).filter(F.col("__low") <= F.col("__high"))
-    grid = _spread(kept, F.col("__low"), F.col("__high"))
+    grid = spread(kept, F.col("__low"), F.col("__high"))
     return grid.select(*keys, F.col("__at").alias("bin"), *values)
 
 
@@ -232,6 +224,7 @@ def _scan(rows: DataFrame, keys: list[str], only: Column | None = None) -> DataF
 
 
 _STEPS = ["distance_travelled", "ldist", "rdist", "ref_dist", "dis_dist"]
+_ORIGIN = "greatest(__low, 0L)"
 _TOTALS = ["cumulative_distance", "ref_cdist", "dis_cdist", "refprop", "disprop"]
 
 
@@ -317,6 +310,36 @@ def heavy_grids(events: DataFrame, durations: DataFrame, step: int = STEP_MS) ->
     return heaviest(_grid_spans(events, durations, step).select(*TRIAL, sizes.alias("__rows")), TRIAL)
 
 
+def grid_spans(events: DataFrame, durations: DataFrame, step: int = STEP_MS) -> DataFrame:
+    """One row per trial that has a grid: condition, referent side, and the first and last kept bin."""
+    spans = _grid_spans(events, durations, step).select(
+        *TRIAL, "condition", "refpos", F.expr("greatest(__low, 0L)").alias("low"), F.col("__high").alias("high")
+    )
+    known = F.col("participant").isNotNull() & F.col("trial").isNotNull()
+    return spans.filter(known & (F.col("low") <= F.col("high")))
+
+
+def steady_runs(
+    events: DataFrame, durations: DataFrame, step: int = STEP_MS, fill_scope: str = "trial"
+) -> DataFrame:
+    """The rows of ``trajectories`` as stretches of bins (``low..high``) in which position and totals stay the same.
+
+    Steps into a bin are left out, as they belong to the first bin of a stretch only.
+    """
+    head = F.expr("struct(__at_low AS low, __at_low AS high, true AS first)")
+    tail = F.expr("struct(__at_low + 1 AS low, __at_high AS high, false AS first)")
+    whole = F.expr("struct(__at_low AS low, __at_high AS high, false AS first)")
+    begins = F.expr(f"__at_low = {_ORIGIN}")
+    pieces = F.when(begins & F.expr("__at_low < __at_high"), F.array(head, tail)).when(begins, F.array(head))
+    runs = _runs(events, durations, step, fill_scope)
+    cut = runs.select(*TRIAL, "condition", "refpos", "__x", "__y", *_TOTALS, F.inline(pieces.otherwise(F.array(whole))))
+    at_first = F.when(F.col("low") == 0, F.lit(0.0))
+    totals = [F.when(F.col("first"), at_first).otherwise(F.col(c)).alias(c) for c in _TOTALS]
+    return cut.select(
+        *TRIAL, "condition", "refpos", "low", "high", F.col("__x").alias("x"), F.col("__y").alias("y"), *totals
+    )
+
+
 def trajectories(
     events: DataFrame,
     durations: DataFrame,
@@ -330,6 +353,21 @@ def trajectories(
     bin sums in place; the bins are shuffled once by trial block, where all window work happens on the
     observed bins; only then is each observed bin spread over the grid.
     """
+    grid = spread(_runs(events, durations, step, fill_scope), F.col("__at_low"), F.col("__at_high"))
+    return grid.select(
+        *TRIAL,
+        "condition",
+        "refpos",
+        F.col("__at").alias("bin"),
+        (F.col("__at") * F.lit(step)).alias("time"),
+        F.col("__x").alias("x"),
+        F.col("__y").alias("y"),
+        *_grid_features("__at", _ORIGIN, "__at = __at_low"),
+    )
+
+
+def _runs(events: DataFrame, durations: DataFrame, step: int, fill_scope: str) -> DataFrame:
+    """Observed bins with features, each with the bins of the kept grid (``__at_low..__at_high``) it stands for."""
     if fill_scope not in ("trial", "participant"):
         raise ValueError(f"unknown fill_scope {fill_scope!r}")
     constant = ["condition", "refpos"]
@@ -356,9 +394,8 @@ def trajectories(
     ]
     observed = placed.groupBy(*group, "__block", "bin").agg(*means, F.max("__high").alias("__high"))
 
-    origin = "greatest(__low, 0L)"
     nothing = F.lit(None).cast("double")
-    rows = observed.withColumn("__counts", F.expr(f"bin > {origin}"))
+    rows = observed.withColumn("__counts", F.expr(f"bin > {_ORIGIN}"))
     if fill_scope == "participant":
         prior = _previous_values(observed, TRIAL, ["x", "y"])
         prior = prior.withColumnsRenamed({"__prior_x": "__x0", "__prior_y": "__y0"})
@@ -367,19 +404,9 @@ def trajectories(
         rows = rows.withColumns({"__x0": nothing, "__y0": nothing})
     scanned = _scan(rows, TRIAL, only=block_of(F.col("__high") - F.col("__low")) > 0)
 
-    runs = _row_features(scanned, origin).withColumns(
+    return _row_features(scanned, _ORIGIN).withColumns(
         {
-            "__at_low": F.expr(f"greatest(bin, {origin})"),
+            "__at_low": F.expr(f"greatest(bin, {_ORIGIN})"),
             "__at_high": F.expr("coalesce(__next - 1, __high)"),
         }
     ).filter("__at_low <= __at_high")
-    grid = _spread(runs, F.col("__at_low"), F.col("__at_high"))
-    return grid.select(
-        *TRIAL,
-        *constant,
-        F.col("__at").alias("bin"),
-        (F.col("__at") * F.lit(step)).alias("time"),
-        F.col("__x").alias("x"),
-        F.col("__y").alias("y"),
-        *_grid_features("__at", origin, "__at = __at_low"),
-    )

@@ -17,7 +17,7 @@ from tracelane.operators.quality import (
     participant_inclusion,
     participant_info,
 )
-from tracelane.operators.resample import trajectories
+from tracelane.operators.resample import grid_spans, steady_runs, trajectories
 from tracelane.operators.trials import attention_score, side_bias, trial_info
 
 # fixed values of the mapping
@@ -173,3 +173,13 @@ def model_trajectories(spark: SparkSession, sf_dir: str, fill_scope: str = "tria
     return trajectories(
         model_events(spark, sf_dir), model_durations(spark, sf_dir), BIN_MS, fill_scope
     )
+
+
+def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trajectories as stretches of bins with steady totals."""
+    return steady_runs(model_events(spark, sf_dir), model_durations(spark, sf_dir), BIN_MS)
+
+
+def model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last bin of every trial's grid."""
+    return grid_spans(model_events(spark, sf_dir), model_durations(spark, sf_dir), BIN_MS)

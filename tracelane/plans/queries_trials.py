@@ -11,7 +11,9 @@ from tracelane.operators import model as mo
 from tracelane.operators import quality as qu
 from tracelane.operators import resample as rs
 from tracelane.operators import trials as tr
+from tracelane.operators.intervals import spread
 from tracelane.operators.joins import natural_join
+from tracelane.operators.skew import hot_keys
 from tracelane.plans.catalogue import query
 from tracelane.plans.driver_tables import (
     BIN_MS,
@@ -23,6 +25,8 @@ from tracelane.plans.driver_tables import (
     model_participants,
     model_questionnaire,
     model_roster,
+    model_runs,
+    model_spans,
     model_trajectories,
     model_trials,
     with_attention_trials,
@@ -261,8 +265,8 @@ def _course_sql(view: str, measures: list[str], subject: str, by: list[str], str
     statement(_course_sql("mv", ["refprop", "disprop"], "participant", ["condition"], True), "mv"),
 )
 def d15(spark, sf):
-    return agg.timecourse(
-        model_trajectories(spark, sf), ["refprop", "disprop"], "participant", ["condition"], interval=BIN_MS
+    return agg.timecourse_of_runs(
+        model_runs(spark, sf), ["refprop", "disprop"], "participant", ["condition"], interval=BIN_MS
     )
 
 
@@ -271,8 +275,8 @@ def d15(spark, sf):
     statement(_course_sql("mv", ["refprop", "disprop"], "participant", ["condition"], False), "mv"),
 )
 def d15_skip(spark, sf):
-    return agg.timecourse(
-        model_trajectories(spark, sf),
+    return agg.timecourse_of_runs(
+        model_runs(spark, sf),
         ["refprop", "disprop"],
         "participant",
         ["condition"],
@@ -288,9 +292,10 @@ def d15_skip(spark, sf):
     ),
 )
 def a11(spark, sf):
-    rows = co.union_cohorts(**two_cohorts(model_trajectories(spark, sf)))
-    return agg.timecourse(
-        rows, ["refprop", "disprop"], "participant", ["condition", "cohort"], interval=BIN_MS, na="skip"
+    cohort = F.when(F.col("participant") % 2 == 0, "Mturk").otherwise("LAB")
+    runs = model_runs(spark, sf).withColumn("cohort", cohort)
+    return agg.timecourse_of_runs(
+        runs, ["refprop", "disprop"], "participant", ["condition", "cohort"], interval=BIN_MS, na="skip"
     )
 
 
@@ -324,20 +329,27 @@ def long_grids(spark, sf):
     return rs.heavy_grids(model_events(spark, sf), model_durations(spark, sf), BIN_MS)
 
 
-def model_frame(spark, sf, max_seconds=72_000.0):
-    """The model frame of the merged cohorts, without fillers."""
-    binned = model_trajectories(spark, sf).filter(F.col("condition") != "Filler")
+MAX_SECONDS = 72_000.0
+
+
+def model_parts(spark, sf):
+    """Stretches of the model's rows, and the moments of all chosen bins; neither spreads the grid."""
+    events = model_events(spark, sf)
+    spans = model_spans(spark, sf).filter(F.col("condition") != "Filler")
     trials = qu.trial_inclusion(model_trials(spark, sf)).select(*TRIAL, "include_trial")
     ppt = model_participants(spark, sf).select("participant", "include_ppt", "bilingual")
-    rows = qu.enrich(binned, ppt, trials, spread=["bin"], hot=long_grids(spark, sf))
-    rows = rows.withColumn("duplicate2", F.lit("n-dup"))
-    rows = rows.withColumns(
+    spans = qu.enrich(spans, ppt, trials, spread=["trial"]).withColumns(
         {
+            "duplicate2": F.lit("n-dup"),
             "cohort": F.when(F.col("participant") % 2 == 0, "Mturk").otherwise("LAB"),
             "bilingual": F.when(F.col("bilingual").isin("BUILDING", "FURNITURE"), "No").otherwise("Yes"),
         }
     )
-    return mo.model_frame(rows, max_seconds)
+    chosen = spans.filter(mo.chosen_rows())
+    runs = mo.model_runs(
+        model_runs(spark, sf), chosen, BIN_MS, MAX_SECONDS, hot=hot_keys(events, TRIAL)
+    )
+    return runs, mo.bin_moments(chosen)
 
 
 FRAME = f"""chosen AS (SELECT mv.*, mv.time / 1000.0 AS time_s, CASE WHEN mv.participant % 2 = 0 THEN 'Mturk' ELSE 'LAB' END
@@ -364,7 +376,8 @@ def _frame_sql(body: str) -> str:
     ),
 )
 def d16(spark, sf):
-    return model_frame(spark, sf).select(
+    runs, moments = model_parts(spark, sf)
+    return mo.frame_of_runs(runs, moments, BIN_MS).select(
         "sub", "ref", "fluency", "cohort", "bin", "time_s", "time_z", "elog_bias", "move", "moveo", "fluency_c"
     )
 
@@ -389,7 +402,8 @@ def _slopes_sql(body: str) -> str:
     ),
 )
 def m1(spark, sf):
-    return mo.subject_slopes(model_frame(spark, sf), "elog_bias", "time_z", ["fluency", "cohort"])
+    runs, moments = model_parts(spark, sf)
+    return mo.slopes_of_runs(runs, "elog_bias", ["fluency", "cohort"], moments)
 
 
 @query(
@@ -402,7 +416,8 @@ def m1(spark, sf):
 )
 def m1_summary(spark, sf):
     cell = ["fluency", "cohort"]
-    return mo.slope_summary(mo.subject_slopes(model_frame(spark, sf), "elog_bias", "time_z", cell), cell)
+    runs, moments = model_parts(spark, sf)
+    return mo.slope_summary(mo.slopes_of_runs(runs, "elog_bias", cell, moments), cell)
 
 
 @query(
@@ -441,9 +456,8 @@ def _fitted_sql() -> str:
 @query("m3_fitted_timecourse", _fitted_sql())
 def m3(spark, sf):
     cell = ["fluency", "cohort"]
-    frame = model_frame(spark, sf)
-    slopes = mo.subject_slopes(frame, "elog_bias", "time_z", cell)
-    return mo.fitted_timecourse(frame, slopes, cell, interval=BIN_MS)
+    runs, _ = model_parts(spark, sf)
+    return mo.fitted_of_runs(runs, cell, interval=BIN_MS)
 
 
 @query(
@@ -482,9 +496,13 @@ def p12(spark, sf):
     ),
 )
 def w6(spark, sf):
-    rows = model_trajectories(spark, sf).select(*TRIAL, "bin", "time")
-    timed = rows.withColumn("time_s", F.col("time") / F.lit(1000.0))
-    return agg.zscore(timed, "time_s", "time_z").filter(F.col("time_s") <= 72000).select(*TRIAL, "bin", "time_z")
+    """Moments of all bins in closed form from the grids' ends; late bins are cut before the grids are spread."""
+    spans = model_spans(spark, sf)
+    moments = mo.bin_moments(spans)
+    last = F.lit(int(MAX_SECONDS * 1000 // BIN_MS)).cast("long")
+    early = spans.filter(F.col("low") <= last)
+    rows = spread(early, F.col("low"), F.least("high", last)).withColumnRenamed("__at", "bin")
+    return rows.select(*TRIAL, "bin", mo.standardised("bin", moments).alias("time_z"))
 
 
 @query(
