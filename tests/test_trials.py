@@ -214,3 +214,26 @@ def test_one_exchange_carries_the_window_work(events, durations):
     assert windows
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert plan.count("REPARTITION_BY_COL") <= 2  # the bins, once for the rows and once for the block summary
+
+
+def test_a_trial_with_several_texts_is_one_trial(spark, rows):
+    log = [  # participant, trial, seq, condition, refpos, event_type, layer, elapsed, trial_start, browser
+        (1, "lamp", 1, None, "L", "playbackstart", None, 1000.0, 5, "A"),
+        (1, "lamp", 2, "Fluent", None, "move", None, 2100.0, 6, "B"),
+        (1, "lamp", 3, "Disfluent", "R", "click", "image-left", 2500.0, 7, None),
+        (2, "lamp", 4, None, None, "move", None, 10.0, 8, None),
+    ]
+    schema = "participant long, trial string, seq long, condition string, refpos string, event_type string, layer string, elapsed double, trial_start long, browser string"
+    events = spark.createDataFrame(log, schema)
+    durations = spark.createDataFrame([("Fluent", "lamp", 1000.0)], "condition string, item string, audio1_duration double")
+    info = tr.trial_info(events, durations, ("browser",))
+    got = rows(info, "participant", "trialstart", "audio_played", "datapoints", "clicktime", "clicked", "trial_condition", "browser")
+    assert got == [(1, 5, 1, 1, 500.0, "ref", "Fluent", "A"), (2, 8, 0, 1, None, "none", None, None)]
+    onsets = tr.trial_onsets(events)
+    assert rows(onsets, "participant", "condition", "refpos", "audio1_start", "first_elapsed", "last_elapsed") == [
+        (1, "Fluent", "L", 1000.0, 1000.0, 2500.0),
+        (2, None, None, None, 10.0, 10.0),
+    ]
+    plan = events.transform(tr.trial_onsets)._jdf.queryExecution().executedPlan().toString()
+    before_shuffle = plan.split("Exchange")[-1]
+    assert "SortAggregate" not in before_shuffle and "HashAggregate" in before_shuffle

@@ -82,15 +82,31 @@ def side_bias(events: DataFrame) -> DataFrame:
     )
 
 
+def _first_known(c: str) -> Column:
+    """First value that is known, over rows that carry the place of their first event (``__first``)."""
+    return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__first"))).alias(c)
+
+
 def trial_onsets(events: DataFrame, also: tuple[str, ...] = ("condition", "refpos")) -> DataFrame:
-    """One row per trial: start of its first audio, and the first known value of what belongs to the trial."""
-    onset = first_where("elapsed", F.col("event_type") == "playbackstart", "seq")
-    return events.groupBy(*TRIAL).agg(
-        *[first_where(c, F.col(c).isNotNull(), "seq").alias(c) for c in also],
-        onset.alias("audio1_start"),
+    """One row per trial: start of its first audio, and the first known value of what belongs to the trial.
+
+    Texts are grouping columns of a first aggregate, whose state is numbers only, so that the raw events are hashed
+    and not sorted; of a trial with several values the second one, over about a row per trial, takes the first.
+    """
+    playback = F.col("event_type") == "playbackstart"
+    parts = events.groupBy(*TRIAL, *also).agg(
+        F.min("seq").alias("__first"),
+        F.min(F.when(playback, F.col("seq"))).alias("__onset"),
+        first_where("elapsed", playback, "seq").alias("audio1_start"),
         F.min("elapsed").alias("first_elapsed"),
         F.max("elapsed").alias("last_elapsed"),
     )
+    return parts.groupBy(*TRIAL).agg(
+        *[_first_known(c) for c in also],
+        F.min_by("audio1_start", "__onset").alias("audio1_start"),
+        F.min("first_elapsed").alias("first_elapsed"),
+        F.max("last_elapsed").alias("last_elapsed"),
+    )
 
 
 def trial_clock(
@@ -165,25 +181,37 @@ CLIENT = ("browser", "version", "os")
 def trial_info(events: DataFrame, durations: DataFrame, client: tuple[str, ...] = CLIENT) -> DataFrame:
     """One row per trial: start, whether audio played, amount of movement, click time and choice.
 
-    Condition and referent side are constant within a trial and serve as grouping columns; without client
-    columns the aggregate has a purely numeric state.
+    Condition and referent side are the first known ones, client columns those of the first row.  As in
+    ``trial_onsets``, all of them are grouping columns of a first, numeric aggregate.
     """
-    first = {c: c for c in client}
-    if "att_check" in events.columns:
-        first["att_check"] = "att_check"
-    facts = (
-        events.groupBy(*TRIAL, "condition", "refpos")
-        .agg(
-            first_where("trial_start", None, "seq").alias("trialstart"),
-            any_equal("event_type", "playbackstart").alias("audio_played"),
-            F.count_if(F.col("event_type") == "move").alias("datapoints"),
-            first_where("elapsed", F.col("event_type") == "playbackstart", "seq").alias("audio1_start"),
-            _last_click("elapsed").alias("click_elapsed"),
-            _click_side_code().alias("side"),
-            *[first_where(source, None, "seq").alias(name) for name, source in first.items()],
-        )
-        .withColumn("item", F.col("trial"))
+    texts = ["condition", "refpos", *client]
+    att = [c for c in ("att_check",) if c in events.columns]
+    playback = F.col("event_type") == "playbackstart"
+    side = click_side("layer")
+    code = F.when(side == "L", 1).when(side == "R", 2).otherwise(0)
+    parts = events.groupBy(*TRIAL, *texts).agg(
+        F.min("seq").alias("__first"),
+        F.min(F.when(playback, F.col("seq"))).alias("__onset"),
+        F.max(F.when(is_click(), F.col("seq"))).alias("__click"),
+        first_where("trial_start", None, "seq").alias("trialstart"),
+        any_equal("event_type", "playbackstart").alias("audio_played"),
+        F.count_if(F.col("event_type") == "move").alias("datapoints"),
+        first_where("elapsed", playback, "seq").alias("audio1_start"),
+        _last_click("elapsed").alias("click_elapsed"),
+        _last_click(code).alias("side"),
+        *[first_where(c, None, "seq").alias(c) for c in att],
+    )
+    facts = parts.groupBy(*TRIAL).agg(
+        *[_first_known(c) for c in ("condition", "refpos")],
+        F.min_by("trialstart", "__first").alias("trialstart"),
+        F.max("audio_played").alias("audio_played"),
+        F.sum("datapoints").alias("datapoints"),
+        F.min_by("audio1_start", "__onset").alias("audio1_start"),
+        F.max_by("click_elapsed", "__click").alias("click_elapsed"),
+        F.coalesce(F.max_by("side", "__click"), F.lit(0)).alias("side"),
+        *[F.min_by(c, "__first").alias(c) for c in [*client, *att]],
     )
+    facts = facts.withColumn("item", F.col("trial"))
     timed = attach_durations(facts, durations)
     clicktime = F.col("click_elapsed") - (F.col("audio1_start") + F.col("audio1_duration"))
     return timed.select(
@@ -192,7 +220,7 @@ def trial_info(events: DataFrame, durations: DataFrame, client: tuple[str, ...]
         "audio_played",
         "datapoints",
         clicktime.alias("clicktime"),
-        *(["att_check"] if "att_check" in first else []),
+        *att,
         object_chosen(_side_name("side"), "refpos").alias("clicked"),
         F.col("condition").alias("trial_condition"),
         *client,
