@@ -20,6 +20,7 @@ from tracelane.functions.ordered import (
     share_where,
 )
 from tracelane.functions.scalar import (
+    chi_square_p,
     click_side,
     code_values,
     condition_name,
@@ -36,6 +37,7 @@ from tracelane.functions.scalar import (
 )
 
 __all__ = [
+    "chi_square_p",
     "any_equal",
     "click_side",
     "code_values",

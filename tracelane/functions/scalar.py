@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,3 +97,44 @@ def epoch_ms_to_ts(c: Column | str) -> Column:
 
 def minutes_between(start: Column | str, end: Column | str) -> Column:
     return (F.unix_seconds(_col(end)) - F.unix_seconds(_col(start))) / F.lit(60.0)
+
+
+def chi_square_p(statistic: Column | str, dof: Column | str) -> Column:
+    """Probability of a chi-square value at least as large: the upper incomplete gamma function, regularised.
+
+    Below the mean a power series, above it a continued fraction, both of a length that grows with the square root of
+    the degrees of freedom.  Null for an unknown statistic or no degrees of freedom.
+    """
+    x, k = _col(statistic).cast("double") / F.lit(2.0), _col(dof).cast("long")
+    a = k.cast("double") / F.lit(2.0)
+    one, tiny = F.lit(1.0), F.lit(1e-300)
+    places = F.sequence(F.lit(1).cast("long"), F.lit(200).cast("long") + F.ceil(F.sqrt(a) * F.lit(20.0)))
+    # log of gamma(a) from gamma(1) or gamma(1/2) upwards
+    half = F.pmod(k, F.lit(2)).cast("double") / F.lit(2.0)
+    steps = F.when(k > 2, F.sequence(F.lit(1).cast("long"), F.floor((k - F.lit(1)) / F.lit(2)).cast("long")))
+    first = F.when(half > 0, F.lit(0.5 * math.log(math.pi))).otherwise(F.lit(0.0))
+    shift = F.when(half > 0, F.lit(-0.5)).otherwise(F.lit(0.0))
+    log_gamma = F.coalesce(F.aggregate(steps, first, lambda s, i: s + F.log(i.cast("double") + shift)), first)
+    front = F.exp(a * F.log(x) - x - log_gamma)
+
+    def add(s, i):
+        term = s["term"] * x / (a + i)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    series = F.aggregate(places, F.struct((one / a).alias("term"), (one / a).alias("sum")), add)["sum"]
+
+    def deepen(s, i):
+        top = i * (a - i)
+        low = x + one - a + F.lit(2.0) * i
+        d = one / _not_zero(top * s["d"] + low, tiny)
+        c = _not_zero(low + top / s["c"], tiny)
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    begin = one / _not_zero(x + one - a, tiny)
+    fraction = F.aggregate(places, F.struct((one / tiny).alias("c"), begin.alias("d"), begin.alias("h")), deepen)["h"]
+    upper = F.when(x <= 0, one).when(x < a + one, F.greatest(one - front * series, F.lit(0.0))).otherwise(front * fraction)
+    return F.when((k > 0) & x.isNotNull(), upper)
+
+
+def _not_zero(c: Column, tiny: Column) -> Column:
+    return F.when(F.abs(c) < tiny, tiny).otherwise(c)

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelane.functions import if_else, strict_avg
+from tracelane.functions import chi_square_p, if_else, strict_avg
 from tracelane.operators.intervals import running_totals, spread
 from tracelane.operators.joins import natural_join
-from tracelane.operators.skew import attach_group_facts, blocked, carried, heaviest
+from tracelane.operators.skew import attach_group_facts, blocked, carried, heaviest, range_blocks
 
 
 def to_long(
@@ -150,10 +150,28 @@ def timecourse_rows(
     return _with_interval(_stack(wide, cell, aois), bin, interval)
 
 
+def with_empty_cells(counts: DataFrame, cols: list[str], within: list[str] | None = None, n: str = "n") -> DataFrame:
+    """Counted level combinations and, with count 0, those that do not occur.
+
+    Each column's levels are those that occur (per group of ``within``); the grid of combinations grows column by
+    column from the lists of levels, so nothing larger than the complete table is built.
+    """
+    within = within or []
+    levels = counts.groupBy(*within).agg(*[F.collect_set(c).alias(f"__all_{c}") for c in cols])
+    grid = levels
+    for c in cols:
+        grid = grid.withColumn(c, F.explode(f"__all_{c}")).drop(f"__all_{c}")
+    rest = [c for c in counts.columns if c not in (*within, *cols, n)]
+    return grid.join(counts, [*within, *cols], "left").select(
+        *within, *cols, F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n), *rest
+    )
+
+
 def freq_table(df: DataFrame, cols: list[str], margin: list[str] | None = None) -> DataFrame:
     """Counts per level combination with proportions of the whole, or of the ``margin`` columns' rows.
 
-    A null level is left out, as in a contingency table.
+    As in a contingency table a null level is left out, and combinations that do not occur have the count 0; their
+    margin may be empty, and then has no proportions.
     """
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
     counts = df.filter(present).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
@@ -161,7 +179,8 @@ def freq_table(df: DataFrame, cols: list[str], margin: list[str] | None = None)
         total = F.sum("n").over(Window.partitionBy(*margin))
     else:
         total = counts.agg(F.sum("n").alias("total")).scalar()
-    return counts.withColumn("prop", F.col("n") / total)
+    whole = with_empty_cells(counts, cols) if len(cols) > 1 else counts
+    return whole.withColumn("prop", F.col("n") / F.nullif(total, F.lit(0)))
 
 
 def strat_table(
@@ -169,8 +188,9 @@ def strat_table(
 ) -> DataFrame:
     """Count, percentage and chi-square test of each categorical variable by stratum.
 
-    One pass over the rows: all variables are counted together in long form.  2x2 tables get the
-    continuity correction.  Without ``strata`` the table has a single ``Overall`` stratum and no test.
+    One pass over the rows: all variables are counted together in long form.  A level that a stratum lacks has the
+    count 0 there.  2x2 tables get the continuity correction.  Without ``strata`` the table has a single ``Overall``
+    stratum and no test.
     """
     stratum = F.lit("Overall") if strata is None else F.col(strata).cast("string")
     slim = df.select(
@@ -186,15 +206,16 @@ def strat_table(
     )
     cells = slim.filter(F.col("level").isNotNull() & F.col("stratum").isNotNull())
     cells = cells.groupBy("variable", "level", "stratum").agg(F.count(F.lit(1)).alias("n"))
+    cells = with_empty_cells(cells, ["level", "stratum"], ["variable"])
     column = F.sum("n").over(Window.partitionBy("variable", "stratum"))
     table = cells.withColumn("percent", F.lit(100.0) * F.col("n") / column)
     return table if strata is None or not test else with_chi_square(table)
 
 
 def with_chi_square(cells: DataFrame) -> DataFrame:
-    """Add the chi-square statistic and degrees of freedom of each variable to (variable, level, stratum, n).
+    """Add chi-square statistic, degrees of freedom and p value of each variable to (variable, level, stratum, n).
 
-    Works on the counted cells only, and only on filled ones: the plain statistic is
+    Works on the counted cells, with or without the empty ones: the plain statistic is
     total * (sum of n^2 / (row * column) - 1), to which an empty cell adds nothing.  In a 2x2 table all cells
     miss their expectation by the same amount, so the corrected form follows from any filled cell.
     """
@@ -228,7 +249,8 @@ def with_chi_square(cells: DataFrame) -> DataFrame:
     plain = F.col("__total") * (F.col("__terms") - one)
     two_by_two = (F.col("__rows") == 2) & (F.col("__cols") == 2)
     statistic = F.when(dof > 0, F.when(two_by_two, corrected).otherwise(plain))
-    return sums.select(*cells.columns, statistic.alias("chi_square"), dof.alias("dof"))
+    tested = sums.select(*cells.columns, statistic.alias("chi_square"), dof.alias("dof"))
+    return tested.withColumn("p", chi_square_p("chi_square", "dof"))
 
 
 def invalidity_breakdown(trials: DataFrame, min_click_ms: float = 200) -> DataFrame:
@@ -244,19 +266,42 @@ def invalidity_breakdown(trials: DataFrame, min_click_ms: float = 200) -> DataFr
     return flagged.groupBy("cohort", *flags).agg(F.count(F.lit(1)).alias("n"))
 
 
-def time_taken(ppt: DataFrame, by: list[str]) -> DataFrame:
-    """Median, shortest and longest duration (minutes) per cohort; unknown if any is unknown.
+def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """Median of the known values of each group, by rank, with no group's values in one task.
 
-    The exact median counts equal values map-side; durations have whole seconds, so a cohort's state stays
-    small however many participants it has.
+    Equal values are counted first; the counts are cut into ranges of the sorted values, whose sizes tell which one or
+    two ranges hold the middle ranks, and only in these are the values counted off.
     """
-    t, n = F.col("time_taken"), F.count(F.lit(1))
-    whole = F.count(t) == n
-    return ppt.groupBy(*by).agg(
-        F.when(whole, F.median(t)).alias("med_time"),
-        F.when(whole, F.min(t)).alias("min_time"),
-        F.when(whole, F.max(t)).alias("max_time"),
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v"))
+    blocks = range_blocks(counts.agg(F.count(F.lit(1)).alias("__n")), [*by, "__v"])
+    sizes = blocks.groupBy(*by, "__block").agg(F.sum("__n").alias("__size"))
+    group = Window.partitionBy(*by)
+    before = F.sum("__size").over(group.orderBy("__block")) - F.col("__size")
+    total = F.sum("__size").over(group)
+    sizes = sizes.select(*by, "__block", "__size", before.alias("__before"), total.alias("__total"))
+    low, high = F.floor((F.col("__total") + 1) / 2), F.floor((F.col("__total") + 2) / 2)
+    middle = sizes.withColumns({"__low": low, "__high": high}).filter(
+        (F.col("__before") < F.col("__high")) & (F.col("__before") + F.col("__size") >= F.col("__low"))
+    )
+    near = natural_join(blocks, middle, "inner", [*by, "__block"])
+    so_far = Window.partitionBy(*by, "__block").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("__before") + F.sum("__n").over(so_far)
+    ranked = near.withColumn("__last", last)
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("__last") >= F.col(rank)) & (F.col("__last") - F.col("__n") < F.col(rank)), F.col("__v")))
+
+    return ranked.groupBy(*by).agg(((at("__low") + at("__high")) / F.lit(2)).alias(name))
+
+
+def time_taken(ppt: DataFrame, by: list[str]) -> DataFrame:
+    """Median, shortest and longest duration (minutes) per cohort; unknown if any is unknown."""
+    t = F.col("time_taken")
+    ends = ppt.groupBy(*by).agg(
+        (F.count(t) == F.count(F.lit(1))).alias("__whole"), F.min(t).alias("min_time"), F.max(t).alias("max_time")
     )
+    both = natural_join(ends, exact_median(ppt, by, "time_taken", "med_time"), "left", by)
+    return both.select(*by, *[F.when(F.col("__whole"), F.col(c)).alias(c) for c in ("med_time", "min_time", "max_time")])
 
 
 def hour_histogram(ppt: DataFrame, by: list[str], start: str = "first_time1") -> DataFrame:

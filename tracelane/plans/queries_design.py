@@ -97,7 +97,9 @@ def e2(spark, sf):
 
 @query(
     "e3_balance_check",
-    f"""WITH {EVERYTHING} SELECT "group", condition, count(*) AS n FROM everything GROUP BY ALL""",
+    f"""WITH {EVERYTHING} SELECT g."group", c.condition, count(e.trial) AS n
+    FROM (SELECT DISTINCT "group" FROM everything) g CROSS JOIN (SELECT DISTINCT condition FROM everything) c
+    LEFT JOIN everything e ON e."group" = g."group" AND e.condition = c.condition GROUP BY ALL""",
 )
 def e3(spark, sf):
     return de.balance_check(everything(spark, sf))

@@ -179,7 +179,9 @@ def a13(spark, sf):
     "a13_frequency_by_row",
     statement(
         f"""SELECT fluency, clicked, n, {r6("n / CAST(sum(n) OVER (PARTITION BY fluency) AS DOUBLE)")} AS prop
-        FROM (SELECT fluency, clicked, count(*) AS n FROM oc GROUP BY fluency, clicked)""",
+        FROM (SELECT f.fluency, c.clicked, count(oc.clicked) AS n FROM (SELECT DISTINCT fluency FROM oc) f
+        CROSS JOIN (SELECT DISTINCT clicked FROM oc) c LEFT JOIN oc ON oc.fluency = f.fluency AND oc.clicked = c.clicked
+        GROUP BY ALL)""",
         "oc",
     ),
 )
@@ -204,6 +206,8 @@ def a13_outside(spark, sf):
     return tr.outside_share(flag_outside(aligned))
 
 
+# a term of the series of the lower incomplete gamma function
+_TERM = "exp((chi.dof / 2.0 + i) * ln(chi.chi / 2.0) - chi.chi / 2.0 - lgamma(chi.dof / 2.0 + i + 1))"
 _STRAT = f"""flags AS (SELECT participant, CASE WHEN participant % 2 = 0 THEN 'Mturk' ELSE 'LAB' END AS stratum,
     include_ppt, {CRITERIA} FROM ppt),
 long AS (UNPIVOT (SELECT stratum, include_ppt, CAST(criterion2_crittrials15 AS VARCHAR) AS c2,
@@ -219,10 +223,12 @@ chi AS (SELECT variable, (count(DISTINCT level) - 1) * (count(DISTINCT stratum)
     CASE WHEN count(DISTINCT level) = 2 AND count(DISTINCT stratum) = 2
          THEN sum(pow(abs(o - e) - least(0.5, abs(o - e)), 2) / e) ELSE sum(pow(o - e, 2) / e) END AS chi FROM exp
     GROUP BY variable)
-SELECT cells.variable, cells.level, cells.stratum, cells.n,
-    {r6('100.0 * cells.n / sum(cells.n) OVER (PARTITION BY cells.variable, cells.stratum)')} AS percent,
-    CASE WHEN chi.dof > 0 THEN {r6('chi.chi')} END AS chi_square, chi.dof AS dof
-FROM cells JOIN chi ON chi.variable = cells.variable"""
+SELECT exp.variable, exp.level, exp.stratum, exp.o AS n,
+    {r6('100.0 * exp.o / sum(exp.o) OVER (PARTITION BY exp.variable, exp.stratum)')} AS percent,
+    CASE WHEN chi.dof > 0 THEN {r6('chi.chi')} END AS chi_square, chi.dof AS dof,
+    CASE WHEN chi.dof > 0 THEN CASE WHEN chi.chi <= 0 THEN 1.0 ELSE {r6(f"greatest(0.0, 1 - list_sum([{_TERM} for i in range(0, 2000)]))")}
+    END END AS p
+FROM exp JOIN chi ON chi.variable = exp.variable"""
 
 
 @query("a14_stratified_table", statement("", "ppt").rstrip() + ",\n" + _STRAT)
