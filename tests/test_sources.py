@@ -25,15 +25,16 @@ def test_versions_with_different_headers_stack_by_name(spark, tmp_path, rows):
 
 def test_sequence_follows_the_file_across_splits(spark, tmp_path):
     lines = [f"{i},q,{i}" for i in range(40_000)]
-    (tmp_path / "v1.csv").write_text("Participant,Question,Answers...\n" + "\n".join(lines) + "\n")
-    (tmp_path / "v2.csv").write_text("Participant,Question,Answers...\n" + "\n".join(lines[:500]) + "\n")
+    (tmp_path / "v1.csv").write_text("Participant,Trial,X\n" + "\n".join(lines) + "\n")
+    (tmp_path / "v2.csv").write_text("Participant,Trial,X\n" + "\n".join(lines[:500]) + "\n")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
     try:
-        df = so.read_questionnaire(spark, str(tmp_path))
+        df = so.read_events(spark, str(tmp_path))
         assert df.rdd.getNumPartitions() > 5
         got = df.filter("src_file = 'v1.csv'").orderBy("seq").select("participant").collect()
-        assert df.select("src_file", "seq").distinct().count() == 40_500
+        assert df.select("seq").distinct().count() == 40_500
+        assert df.groupBy().agg(F.max(F.when(F.col("src_file") == "v1.csv", F.col("seq"))) < F.min(F.when(F.col("src_file") == "v2.csv", F.col("seq")))).first()[0]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [r[0] for r in got] == list(range(40_000))
@@ -71,3 +72,31 @@ def test_stage_table_keeps_cohort_folders(spark, tmp_path):
     so.write_table(df, str(tmp_path / "t"), ["cohort"])
     back = so.read_table(spark, str(tmp_path / "t"))
     assert back.filter(F.col("cohort") == "LAB").first().n == 1
+
+
+def test_swapped_columns_are_told_apart(spark, tmp_path, rows):
+    (tmp_path / "a b.csv").write_text("Participant,Question,Answers...\n1,q,x\n")
+    (tmp_path / "b.csv").write_text("\ufeffQuestion,\"Answers...\",Participant\nq,y,2\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("")
+    df = so.read_questionnaire(spark, str(tmp_path))
+    assert rows(df, "participant", "answer", "src_file") == [(1, "x", "a b.csv"), (2, "y", "b.csv")]
+    with pytest.raises(Exception, match="header|CSV"):
+        so.read_questionnaire(spark, str(tmp_path), "[ab]*", one_header=True).collect()
+
+
+def test_quoted_line_breaks_stay_in_their_answer(spark, tmp_path, rows):
+    (tmp_path / "v1.csv").write_text('Participant,Question,Answers...\n1,why,"first ""line""\nsecond, line"\n2,why,no\n')
+    assert rows(so.read_questionnaire(spark, str(tmp_path)), "participant", "answer") == [
+        (1, 'first "line"\nsecond, line'),
+        (2, "no"),
+    ]
+
+
+def test_first_answer_of_a_participant_in_two_files(spark, tmp_path, rows):
+    from tracelane.operators.quality import questionnaire_answer
+
+    filler = "".join(f"{i},other,{i}\n" for i in range(10, 400))
+    (tmp_path / "v1.csv").write_text(f"Participant,Question,Answers...\n{filler}1,language,early\n")
+    (tmp_path / "v2.csv").write_text("Question,Participant,Answers...\nlanguage,1,late\nlanguage,2,only\n")
+    questions = so.read_questionnaire(spark, str(tmp_path)).repartition(5)
+    assert rows(questionnaire_answer(questions, "language", "a")) == [(1, "early"), (2, "only")]
