@@ -9,13 +9,16 @@ The frame exists in two forms: rows of the grid (``model_frame``), and stretches
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelane.functions import code_values, elog, level_code, matches, move_category
 from tracelane.operators.aggregate import _curves, _mean, _stack, _with_interval, zscore
 from tracelane.operators.intervals import running_totals, spread, sum_of_places, sum_of_squares
-from tracelane.operators.skew import salted_left_join
+from tracelane.operators.skew import checkpointed, salted_left_join
 
 # fixed values: contrast of the condition, order of the movement categories
 FLUENCY_CODES = {"Fluent": -0.5, "Disfluent": 0.5}
@@ -250,6 +253,49 @@ def choice_logit(clicks: DataFrame, contrast: dict[str, float] = FLUENCY_CODES,
     )
 
 
+def choice_regression(clicks: DataFrame, predictors: list[str], steps: int = 8) -> DataFrame:
+    """Logit of choosing the referent on several numeric predictors: ``term, estimate, se, z``.
+
+    Trials are counted per combination of predictor values once; every Newton step adds up gradient and information
+    over these counts in one row, of which the driver solves a system as small as the number of predictors.  Rows
+    with an unknown choice or predictor are left out.  If choices are separated by the predictors, or the predictors
+    by each other, estimates and errors are null.
+    """
+    known = F.col("clicked").isNotNull()
+    for p in predictors:
+        known &= F.col(p).isNotNull()
+    values = [F.col(p).cast("double").alias(f"__x_{i}") for i, p in enumerate(predictors, 1)]
+    counts = clicks.filter(known).groupBy(*values).agg(
+        F.count(F.lit(1)).cast("double").alias("__n"), F.count_if(F.col("clicked") == "ref").cast("double").alias("__k")
+    )
+    counts = checkpointed(counts)
+    size = len(predictors) + 1
+    x = [F.lit(1.0), *[F.col(f"__x_{i}") for i in range(1, size)]]
+
+    def sums(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        eta = reduce(lambda a, b: a + b, [F.lit(float(b)) * c for b, c in zip(at, x)])
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+        weight = F.col("__n") * p * (F.lit(1.0) - p)
+        slopes = [F.sum((F.col("__k") - F.col("__n") * p) * c) for c in x]
+        curves = [F.sum(weight * x[i] * x[j]) for i in range(size) for j in range(size)]
+        row = [0.0 if v is None else v for v in counts.agg(*slopes, *curves).first()]
+        return np.array(row[:size]), np.array(row[size:]).reshape(size, size)
+
+    at, error = np.zeros(size), np.full(size, np.nan)
+    try:
+        for _ in range(steps):
+            slope, information = sums(at)
+            at = at + np.linalg.solve(information, slope)
+        slope, information = sums(at)
+        error = np.sqrt(np.diag(np.linalg.inv(information)))
+    except np.linalg.LinAlgError:
+        at = np.full(size, np.nan)
+    found = np.isfinite(at).all() and np.isfinite(error).all() and error.max() < 1e3
+    terms = ["intercept", *predictors]
+    rows = [(t, *([float(b), float(e), float(b / e)] if found else [None] * 3)) for t, b, e in zip(terms, at, error)]
+    return clicks.sparkSession.createDataFrame(rows, "term string, estimate double, se double, z double")
+
+
 def choice_glm(clicks: DataFrame, predictors: list[str]):
     """Binomial regression of a referent choice on several numeric predictors (fitted by Spark ML)."""
     from pyspark.ml.feature import VectorAssembler

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelane.functions import first_where, recode
+from tracelane.functions import code_values, first_where, recode
 from tracelane.operators import aggregate as agg
 from tracelane.operators import cohort as co
 from tracelane.operators import model as mo
@@ -439,6 +439,42 @@ def m2(spark, sf):
     return mo.choice_logit(choices.filter((F.col("clicked") != "none") & (F.col("rt") >= 200)))
 
 
+def _newton_sql(steps: int) -> str:
+    """Newton steps on counts per pattern, the three equations solved by determinants."""
+    g = ["k - n * p", "(k - n * p) * x1", "(k - n * p) * x2"]
+    h = {"h00": "w", "h01": "w * x1", "h02": "w * x2", "h11": "w * x1 * x1", "h12": "w * x1 * x2", "h22": "w * x2 * x2"}
+    sums = ", ".join([f"sum({e}) AS g{i}" for i, e in enumerate(g)] + [f"sum({e}) AS {n}" for n, e in h.items()])
+    inner = f"""SELECT step, b0, b1, b2, {sums} FROM (SELECT *, n * p * (1 - p) AS w FROM (SELECT it.*, pat.*,
+        1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM it, pat)) GROUP BY step, b0, b1, b2"""
+    inverse = """(h11 * h22 - h12 * h12) / det AS i00, (h02 * h12 - h01 * h22) / det AS i01,
+        (h01 * h12 - h02 * h11) / det AS i02, (h00 * h22 - h02 * h02) / det AS i11, (h01 * h02 - h00 * h12) / det AS i12,
+        (h00 * h11 - h01 * h01) / det AS i22"""
+    det = """h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det"""
+    solved = f"SELECT *, {inverse} FROM (SELECT *, {det} FROM ({inner}))"
+    views = statement("", "oc").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{views}, pat AS (SELECT CASE fluency WHEN 'Fluent' THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS x1,
+        CASE WHEN participant % 2 = 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS x2, CAST(count(*) AS DOUBLE) AS n,
+        CAST(count(*) FILTER (WHERE clicked = 'ref') AS DOUBLE) AS k FROM oc
+        WHERE clicked <> 'none' AND rt >= 200 AND fluency <> 'Filler' GROUP BY 1, 2),
+    it AS (SELECT 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 UNION ALL
+        SELECT step + 1, b0 + i00 * g0 + i01 * g1 + i02 * g2, b1 + i01 * g0 + i11 * g1 + i12 * g2,
+        b2 + i02 * g0 + i12 * g1 + i22 * g2 FROM ({solved}) WHERE step < {steps}),
+    last AS (SELECT * FROM ({solved}) WHERE step = {steps})
+    SELECT term, {r6('estimate')} AS estimate, {r6('se')} AS se, {r6('estimate / se')} AS z FROM (
+        SELECT 'intercept' AS term, b0 AS estimate, sqrt(i00) AS se FROM last UNION ALL
+        SELECT 'fluency_c', b1, sqrt(i11) FROM last UNION ALL SELECT 'cohort_c', b2, sqrt(i22) FROM last)"""
+
+
+@query("m2_choice_regression", _newton_sql(8))
+def m2_regression(spark, sf):
+    """Choice on condition and cohort."""
+    choices = tr.object_choice_from_events(model_events(spark, sf), model_durations(spark, sf))
+    answered = choices.filter((F.col("clicked") != "none") & (F.col("rt") >= 200) & (F.col("fluency") != "Filler"))
+    cohort = F.when(F.col("participant") % 2 == 0, 0.5).otherwise(-0.5)
+    coded = answered.withColumns({"fluency_c": code_values("fluency", mo.FLUENCY_CODES), "cohort_c": cohort})
+    return mo.choice_regression(coded, ["fluency_c", "cohort_c"])
+
+
 def _fitted_sql() -> str:
     parts = [
         f"""SELECT fluency, cohort, bin, '{m}' AS "AOI", {r6('m')} AS mean_prop, {r6('se')} AS se,
