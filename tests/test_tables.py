@@ -71,6 +71,32 @@ def test_step_features_across_blocks(spark, rows, size):
     ]
 
 
+def test_step_features_of_rows_far_apart(spark, rows, monkeypatch):
+    df = spark.range(4_000).selectExpr("id % 3 AS k", "id * 1000003 AS n", "cast(id * id % 17 AS double) AS x").repartition(7)
+    blocks = {}
+
+    def kept(rows, order, cut=skew.range_blocks):
+        blocks["all"] = cut(rows, order)
+        return blocks["all"]
+
+    monkeypatch.setattr(agg, "range_blocks", kept)
+    got = rows(agg.step_features(df, ["k"], "n", "x", sparse=True))
+    assert got == rows(agg.step_features(df, ["k"], "n", "x", size=10**12))
+    assert blocks["all"].select("k", "__block").distinct().count() <= 3 + 4  # groups and partitions, not rows
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1_000])
+def test_spread_natural_join(spark, rows, monkeypatch, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    left = spark.createDataFrame([(1, None, "a"), (1, None, "b"), (2, "x", "c"), (None, "x", "d")], "k int, s string, v string")
+    right = spark.createDataFrame([(1, None, 10, "z"), (2, "y", 20, "z"), (None, "x", 30, "z")], "k int, s string, n int, v string")
+    for null_safe in (True, False):
+        plain = natural_join(left, right, keys=["k", "s"], null_safe=null_safe)
+        assert rows(natural_join(left, right, keys=["k", "s"], null_safe=null_safe, spread=["v"])) == rows(plain)
+    with pytest.raises(ValueError, match="left joins"):
+        natural_join(left, right, "inner", ["k"], spread=["v"])
+
+
 @pytest.mark.parametrize("size", [2, 100])
 def test_autocorrelation_across_blocks(spark, size):
     values = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0]

@@ -417,13 +417,17 @@ def _correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def step_features(df: DataFrame, keys: list[str], order: str, x: str, size: int | None = None) -> DataFrame:
+def step_features(
+    df: DataFrame, keys: list[str], order: str, x: str, size: int | None = None, sparse: bool = False
+) -> DataFrame:
     """Signed step to the previous row, and the running sum of absolute steps, per group.
 
-    ``order`` is an integer column.  The first row of a group has neither; an unknown step makes all later
-    running sums unknown.
+    ``order`` is an integer column, whose places are cut into blocks.  ``sparse`` is for keys with far more places
+    than rows, such as the global number of an event, and for any other type: rows are then cut into evenly filled
+    ranges, so that there are few blocks however far apart a group's rows lie.  The first row of a group has neither
+    value; an unknown step makes all later running sums unknown.
     """
-    rows = blocked(df, keys, F.col(order), size)
+    rows = range_blocks(df, [*keys, order]) if sparse else blocked(df, keys, F.col(order), size)
     w = Window.partitionBy(*keys, "__block").orderBy(order)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     inner = rows.withColumns({"__lag": F.lag(x).over(w), "__nth": F.row_number().over(w)}).withColumn(

@@ -16,11 +16,14 @@ def natural_join(
     how: str = "left",
     keys: list[str] | None = None,
     null_safe: bool = True,
+    spread: list[str] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join on the shared column names (or on ``keys``), null keys matching null keys.
 
     Columns of ``right`` that also exist on the left are dropped; for a right join the key values come
-    from the right side.
+    from the right side.  A left join with ``spread`` spreads heavy keys by a hash of these columns
+    (``salted_left_join``); ``hot`` may name the heavy keys.
     """
     if how not in ("left", "right", "inner"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -31,6 +34,10 @@ def natural_join(
         if k not in left.columns or k not in right.columns:
             raise ValueError(f"join key {k!r} is missing on one side")
     kept = [c for c in right.columns if c not in left.columns]
+    if spread:
+        if how != "left":
+            raise ValueError("only left joins are spread")
+        return salted_left_join(left, right.select(*keys, *kept), keys, spread, hot, null_safe=null_safe)
     other = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *kept)
 
     def pair(k: str):
@@ -60,7 +67,13 @@ def membership_flag(
 
 
 def attach_durations(
-    rows: DataFrame, durations: DataFrame, keys: tuple[str, ...] = ("condition", "item")
+    rows: DataFrame,
+    durations: DataFrame,
+    keys: tuple[str, ...] = ("condition", "item"),
+    spread: list[str] | None = None,
 ) -> DataFrame:
-    """Lookup join of audio durations; Spark broadcasts the table when its size allows."""
-    return natural_join(rows, durations, "left", list(keys), null_safe=False)
+    """Lookup join of audio durations; Spark broadcasts the table when its size allows.
+
+    ``spread`` names the columns by which raw events of one recording are spread beyond that size.
+    """
+    return natural_join(rows, durations, "left", list(keys), null_safe=False, spread=spread)

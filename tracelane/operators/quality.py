@@ -222,10 +222,11 @@ def enrich(
     ``hot`` may give the trials that are heavy in ``rows``, which are counted otherwise.
     """
     if keys == "natural":
-        return natural_join(natural_join(rows, ppt), trials)
+        by = spread or rows.columns
+        return natural_join(natural_join(rows, ppt, spread=by), trials, spread=by)
     if keys != "explicit":
         raise ValueError(f"unknown keys {keys!r}")
     on = ["participant", "trial"]
-    person = natural_join(trials, ppt, "left", ["participant"], null_safe=False)
+    person = natural_join(trials, ppt, "left", ["participant"], null_safe=False, spread=["trial"])
     added = person.select(*on, *[c for c in person.columns if c not in rows.columns])
     return salted_left_join(rows, added, on, spread or rows.columns, hot)

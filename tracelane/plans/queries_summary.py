@@ -394,7 +394,9 @@ def j2(spark, sf):
 )
 def j3(spark, sf):
     events = model_events(spark, sf).withColumn("item", F.col("trial"))
-    rows = attach_durations(events.select(*TRIAL, "seq", "condition", "item"), model_durations(spark, sf))
+    rows = attach_durations(
+        events.select(*TRIAL, "seq", "condition", "item"), model_durations(spark, sf), spread=["participant", "seq"]
+    )
     return rows.select(*TRIAL, "seq", "audio1_duration")
 
 
@@ -450,7 +452,7 @@ def j12(spark, sf):
     trials = co.union_cohorts(**two_cohorts(model_trials(spark, sf)))
     ppt = co.union_cohorts(**two_cohorts(model_participants(spark, sf)))
     person = ppt.select("cohort", "participant", "total_trials", "bilingual2", "include_ppt")
-    joined = natural_join(trials, person, "left", ["cohort", "participant"])
+    joined = natural_join(trials, person, "left", ["cohort", "participant"], spread=["trial"])
     return joined.select("cohort", *TRIAL, "total_trials", "bilingual2", "include_ppt")
 
 
@@ -482,7 +484,7 @@ def j13(spark, sf):
 def j16(spark, sf):
     events = with_client_columns(model_events(spark, sf)).select(*TRIAL, "seq", "image_left")
     counts = events.groupBy("participant", "image_left").agg(F.count(F.lit(1)).alias("n"))
-    return natural_join(events, counts).select(*TRIAL, "seq", "n")
+    return natural_join(events, counts, spread=["seq"]).select(*TRIAL, "seq", "n")
 
 
 @query(

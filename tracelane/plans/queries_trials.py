@@ -121,8 +121,9 @@ def d6_steps(spark, sf):
     """The same, one step at a time."""
     events, durations = model_events(spark, sf), model_durations(spark, sf)
     grid = rs.resample(tr.align_trials(events, durations), BIN_MS)
-    constant = events.select(*TRIAL, "condition", "refpos").distinct()
-    rows = rs.movement_features(grid.join(constant, TRIAL, "left"))
+    constant = tr.trial_onsets(events).select(*TRIAL, "condition", "refpos")
+    placed = natural_join(grid, constant, "left", TRIAL, null_safe=False, spread=["bin"], hot=long_grids(spark, sf))
+    rows = rs.movement_features(placed)
     return rows.select(*TRIAL, "condition", "refpos", "bin", "time", "x", "y", *rs.FEATURES)
 
 
@@ -629,7 +630,7 @@ def f7(spark, sf):
 def f5(spark, sf):
     rows = co.union_cohorts(**two_cohorts(model_trajectories(spark, sf).select(*TRIAL, "bin")))
     ppt = qu.participant_info(model_trials(spark, sf)).select("participant", "total_trials")
-    known = natural_join(rows, ppt, "left", ["participant"], null_safe=False)
+    known = natural_join(rows, ppt, "left", ["participant"], null_safe=False, spread=["trial", "bin"])
     return known.filter(co.cohort_exclusion(4, 20)).select("cohort", *TRIAL, "bin")
 
 
@@ -682,7 +683,7 @@ def j9(spark, sf):
 )
 def j9_natural(spark, sf):
     binned = model_trajectories(spark, sf)
-    rows = qu.enrich(binned, model_participants(spark, sf), model_trials(spark, sf), "natural")
+    rows = qu.enrich(binned, model_participants(spark, sf), model_trials(spark, sf), "natural", ["bin"])
     return rows.select(*TRIAL, "bin", "total_trials", "clicked", "clicktime")
 
 
@@ -723,6 +724,46 @@ def j11(spark, sf):
     return rows.select(*TRIAL, "fluency", "rt", "clicked", "include_ppt", "clicktime", "include_trial")
 
 
+_NATURAL = """LEFT JOIN ti2 ON ti2.participant = {0}.participant AND ti2.trial = {0}.trial
+        AND ti2.att_check IS NOT DISTINCT FROM ppt.att_check AND ti2.browser IS NOT DISTINCT FROM ppt.browser
+        AND ti2.version IS NOT DISTINCT FROM ppt.version AND ti2.os IS NOT DISTINCT FROM ppt.os"""
+
+
+@query(
+    "j10_enrich_events_natural_keys",
+    statement(
+        f"""SELECT ev.participant, ev.trial, ev.seq, ppt.total_trials, ti2.clicked, ti2.clicktime FROM ev
+        LEFT JOIN ppt ON ppt.participant = ev.participant {_NATURAL.format("ev")}""",
+        "ev",
+        "ppt",
+        "ti2",
+    ),
+)
+def j10_natural(spark, sf):
+    events = model_events(spark, sf).select(*TRIAL, "seq")
+    rows = qu.enrich(events, model_participants(spark, sf), model_trials(spark, sf), "natural", ["seq"])
+    return rows.select(*TRIAL, "seq", "total_trials", "clicked", "clicktime")
+
+
+@query(
+    "j11_enrich_clicks_natural_keys",
+    statement(
+        f"""SELECT oc.participant, oc.trial, oc.fluency, oc.rt, oc.clicked, ppt.total_trials, ti2.datapoints FROM oc
+        LEFT JOIN ppt ON ppt.participant = oc.participant {_NATURAL.format("oc")}
+        AND ti2.clicked IS NOT DISTINCT FROM oc.clicked""",
+        "oc",
+        "ppt",
+        "ti2",
+    ),
+)
+def j11_natural(spark, sf):
+    """The choice is a shared column too."""
+    clicks = tr.object_choice_from_events(model_events(spark, sf), model_durations(spark, sf))
+    clicks = clicks.select(*TRIAL, "fluency", "rt", "clicked")
+    rows = qu.enrich(clicks, model_participants(spark, sf), model_trials(spark, sf), "natural", ["trial"])
+    return rows.select(*TRIAL, "fluency", "rt", "clicked", "total_trials", "datapoints")
+
+
 @query(
     "p10_recode",
     """SELECT c_custkey AS participant, CASE c_mktsegment WHEN 'BUILDING' THEN 'Monolingual' WHEN 'FURNITURE' THEN
@@ -800,4 +841,4 @@ def j6(spark, sf):
 )
 def x10(spark, sf):
     rows = model_events(spark, sf).select("participant", "seq", "k")
-    return agg.step_features(rows, ["participant"], "seq", "k").drop("k")
+    return agg.step_features(rows, ["participant"], "seq", "k", sparse=True).drop("k")
