@@ -357,3 +357,17 @@ def test_cells_against_all_edits():
                     best = min(best or (cost, audit), (cost, audit))
         spans = [repair.Span(repair._ROW_CELLS[i, False], 1, first=i, last=i) for i in initials]
         assert repair.parse(spans).best() == best
+
+
+def test_word_ids_are_those_of_the_library():
+    import pyarrow as pa
+
+    from tracelane.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    made = [" ".join("".join(rng.choice("etaoinshrdlucmfwypvbgkjqxz.,9A") for _ in range(rng.randint(1, 14))) for _ in range(8)) for _ in range(1500)]
+    odd = ["", " ", "<|endoftext|> a<|startoftext|>", "it's OK. 123abc", "\x00 a\x00b", "İÉé", "x\x1cy ''s", *texts(7, 2000), *made]
+    found = packing.WordEncoder(path).texts(pa.array([t.encode() for t in odd], pa.binary()))
+    assert [f.tolist() for f in found] == [library.encode(t, add_special_tokens=False).ids for t in odd]

@@ -7,77 +7,167 @@ pass through one task.
 
 from __future__ import annotations
 
+import json
 import os
 import threading
 import zlib
 from bisect import bisect_right
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import CACHE_ENTRIES, in_arrow, raw, slices, stored
+from tracelane.llm.common import CACHE_ENTRIES, flat, in_arrow, places, raw, slices, stored
+from tracelane.llm.tokens import byte_letters
 
 _lock, _loaded = threading.Lock(), {}
 
+SLICE_BYTES = 8 << 20
+"""Text that one pass over its distinct parts takes; a longer document makes a slice of its own."""
 
-def encoder(path: str):
-    """The library's tokenizer of a file and the words whose ids this worker remembers."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
 
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, _MARK, np.uint8)
+    kinds[[9, 10, 11, 12, 13, 32]] = _SPACE
+    kinds[ord("0") : ord("9") + 1] = _DIGIT
+    kinds[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
+    kinds[0x80:] = _ODD
+    kinds[[0, ord("'"), ord("<")]] = _ODD  # the mark of an end; contractions; special strings
+    return kinds
+
+
+_KINDS = _kinds()
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+class WordEncoder:
+    """Ids of many texts at once with one vocabulary of word ends (``</w>``): each distinct part is encoded once.
+
+    Between ASCII white space the library splits words of plain letters, digits and marks where the kind changes and
+    after each digit.  Such parts are encoded by the library for ranked vocabularies, as merges are made in the order
+    of the ids they give; the byte 0 stands for the word end.  Other words go through the tokenizer's own library,
+    and a bounded number of them is remembered.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        ids, end, letters = model["vocab"], model["end_of_word_suffix"], byte_letters()
+        if end != "</w>":
+            raise ValueError("only vocabularies of word ends are supported")
+        tokens = list(letters) + [c + end for c in letters]
+        for merge in model["merges"]:
+            tokens.append("".join(merge.split(" ") if isinstance(merge, str) else merge))
+        made = [ids[t] for t in tokens[512:]]
+        if made != sorted(made):
+            raise ValueError("merges must be in the order of the ids they give")
+        ranks, self.ids = {}, []
+        for token in tokens:
+            body = bytes(letters[c] for c in token.removesuffix(end))
+            if len(token) > 1 and 0 in body:
+                continue  # no part with the byte 0 is encoded this way
+            ranks[body + b"\0" * token.endswith(end)] = len(self.ids)
+            self.ids.append(ids[token])
+        self.ids = np.array(self.ids, np.uint32)
+        self.last = np.array([t.endswith(b"\0") for t in ranks])
+        self.coder = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[bytes, list[int]] = {}
+
+    def _odd(self, parts: list[bytes]) -> list[list[int]]:
+        if len(self.known) + len(parts) > CACHE_ENTRIES:
+            self.known.clear()  # frequent words come back at once
+        new = [p for p in parts if p not in self.known]
+        found = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
+        self.known.update((p, e.ids) for p, e in zip(new, found))
+        return [self.known[p] for p in parts]
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts one after another and their numbers."""
+        data, offsets = flat(parts)
+        odd = np.add.reduceat(_KINDS[data] == _ODD, offsets[:-1]) > 0
+        sizes = np.diff(offsets)
+        plain = np.flatnonzero(~odd)
+        n = sizes[plain]
+        text = np.zeros(int(n.sum()) + len(plain), np.uint8)
+        text[places(np.cumsum(n + 1) - n - 1, n)] = data[places(offsets[plain], n)]
+        ranks = self.coder.encode_to_numpy(text.tobytes().decode(), disallowed_special=())
+        each = np.zeros(len(parts), np.int64)
+        each[plain] = np.diff(np.flatnonzero(self.last[ranks]), prepend=-1)
+        rest = self._odd(parts.filter(pa.array(odd)).to_pylist())
+        each[odd] = [len(r) for r in rest]
+        out = np.zeros(int(each.sum()), np.uint32)
+        firsts = np.cumsum(each) - each
+        out[places(firsts[plain], each[plain])] = self.ids[ranks]
+        out[places(firsts[odd], each[odd])] = [x for r in rest for x in r]
+        return out, each
+
+    def texts(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a binary column without nulls."""
+        data, offsets = flat(column)
+        kind = _KINDS[data]
+        full = kind != _SPACE
+        if not full.any():
+            return [np.zeros(0, np.uint32)] * len(column)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        word = full.copy()
+        word[1:] &= ~full[:-1] | edge[1:-1]
+        number = np.cumsum(word) - 1
+        odd = np.bincount(number[kind == _ODD], minlength=int(word.sum())) > 0
+        start = word.copy()
+        inner = full[1:] & full[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+        start[1:] |= inner & ~odd[number[1:]]
+        starts = np.flatnonzero(start)
+        spaces = np.concatenate([[0], np.cumsum(~full)])
+        ends = np.append(starts[1:], len(data))
+        sizes = ends - starts - (spaces[ends] - spaces[starts])  # white space follows words only
+        kept = np.where(odd[number], data, _LOWER[data])[places(starts, sizes)]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        parts = pa.Array.from_buffers(
+            pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(kept)]
+        ).dictionary_encode()
+        ids, each = self._parts(parts.dictionary)
+        at = parts.indices.to_numpy()
+        n = each[at]
+        all_ids = ids[places((np.cumsum(each) - each)[at], n)]
+        begin = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets)]
+        return [all_ids[a:b] for a, b in zip(begin, begin[1:])]
+
+
+def encoder(path: str) -> WordEncoder:
     with _lock:
         if path not in _loaded:
-            _loaded[path] = Tokenizer.from_file(path), {}
+            _loaded[path] = WordEncoder(path)
     return _loaded[path]
 
 
 def _pieces(path: str, capacity: int, last: int):
     def work(batches):
-        tokenizer, known = encoder(path)
-        end = np.array([last], "<u4").tobytes()
-        for batch in slices(batches):
-            # the tokenizer drops white space and never joins what it separates, so words are encoded on their own
-            words = [t.as_py().split() for t in batch.column(1)]
-            new = list(set().union(*words) - known.keys())
-            found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            here = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)}
-            room = CACHE_ENTRIES - len(known)
-            if room >= len(here):
-                known.update(here)
-                ids = known
-            else:
-                ids = _Both(known, here)
+        texts, end = encoder(path).texts, np.array([last], "<u4")
+        for batch in slices(batches, limit=SLICE_BYTES):
             out = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32")}
-            for row, text in enumerate(words):
-                data = b"".join(map(ids.__getitem__, text)) + end
-                for i, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
+            for row, ids in enumerate(texts(batch.column(1))):
+                ids = np.concatenate([ids, end]).astype("<u4")
+                for i, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
                     out["row"].append(row)
                     out["piece"].append(i)
-                    out["start"].append(at // 4)
-                    out["length"].append(len(part) // 4)
-                    out["ids_crc32"].append(zlib.crc32(part))
-            yield {"id": batch.column(0).take(_indices(out.pop("row"))), **out}
+                    out["start"].append(at)
+                    out["length"].append(len(part))
+                    out["ids_crc32"].append(zlib.crc32(part.tobytes()))
+            yield {"id": batch.column(0).take(pa.array(out.pop("row"), pa.int64())), **out}
 
     return work
 
 
-class _Both(dict):
-    def __init__(self, known: dict, here: dict):
-        super().__init__(here)
-        self.known = known
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.known[word]
-
-
-def _indices(rows: list[int]):
-    import pyarrow as pa
-
-    return pa.array(rows, pa.int64())
-
-
 def pieces(
     docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", capacity: int = 4096, last: int = 1
 ) -> DataFrame:

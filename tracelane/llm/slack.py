@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import in_arrow, raw, slices, stored
+from tracelane.llm.common import flat, in_arrow, places, raw, slices, stored
 
 SLICE_BYTES = 8 << 20
 """Text that one pass over its distinct parts takes; a longer document makes a slice of its own."""
@@ -82,20 +82,6 @@ def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column and its offsets in them."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
-
-
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places ``starts[i], ..., starts[i] + sizes[i] - 1`` one after another."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Encoder:
     """Ids of many texts at once with one byte-level vocabulary file: each distinct part of them is encoded once.
 
@@ -120,7 +106,7 @@ class Encoder:
 
     def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the parts one after another and their numbers."""
-        data, offsets = _flat(parts)
+        data, offsets = flat(parts)
         kind = _KINDS[data]
         odd = kind >= _BLANK
         odd &= kind != _OTHER
@@ -130,8 +116,8 @@ class Encoder:
         odd |= (sizes == 1) & (kind[offsets[:-1]] == _BLANK)
         lines = np.flatnonzero(~odd)
         text = np.full(int(sizes[lines].sum()) + len(lines), ord("\n"), np.uint8)
-        text[_spread(np.cumsum(sizes[lines] + 1) - sizes[lines] - 1, sizes[lines])] = data[
-            _spread(offsets[lines], sizes[lines])
+        text[places(np.cumsum(sizes[lines] + 1) - sizes[lines] - 1, sizes[lines])] = data[
+            places(offsets[lines], sizes[lines])
         ]
         ids = self.coder.encode_to_numpy(text.tobytes().decode("utf-8", "replace"), disallowed_special=())
         ends = np.flatnonzero(ids == self.line)
@@ -143,13 +129,13 @@ class Encoder:
         each[odd] = [len(r) for r in rest]
         out = np.zeros(int(each.sum()), np.uint32)
         firsts = np.cumsum(each) - each
-        out[_spread(firsts[lines], each[lines])] = ids[ids != self.line]
-        out[_spread(firsts[odd], each[odd])] = [x for r in rest for x in r]
+        out[places(firsts[lines], each[lines])] = ids[ids != self.line]
+        out[places(firsts[odd], each[odd])] = [x for r in rest for x in r]
         return out, each
 
     def texts(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a binary column without nulls."""
-        data, offsets = _flat(column)
+        data, offsets = flat(column)
         if not len(data):
             return [np.zeros(0, np.uint32)] * len(column)
         cuts = np.append(part_starts(data, offsets), len(data))
@@ -157,11 +143,11 @@ class Encoder:
             pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]
         ).dictionary_encode()
         ids, each = self._parts(parts.dictionary)
-        place = parts.indices.to_numpy()
-        sizes = each[place]
-        flat = ids[_spread((np.cumsum(each) - each)[place], sizes)]
+        at = parts.indices.to_numpy()
+        sizes = each[at]
+        all_ids = ids[places((np.cumsum(each) - each)[at], sizes)]
         starts = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(cuts, offsets)]
-        found = [flat[a:b] for a, b in zip(starts, starts[1:])]
+        found = [all_ids[a:b] for a, b in zip(starts, starts[1:])]
         for special in self.special:  # the library's default: a special string inside a text is one id
             for row in np.flatnonzero(pc.count_substring(column, special).to_numpy(zero_copy_only=False)):
                 text = column[int(row)].as_py().decode("utf-8", "replace")

@@ -26,7 +26,7 @@ _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 """Fixed value: the pre-tokens of the byte-level vocabulary."""
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable letters that stand for bytes in a byte-level vocabulary file."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -46,7 +46,7 @@ class PrefixCounter:
         kind = data["pre_tokenizer"]
         if data["normalizer"] or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or not kind["use_regex"]:
             raise ValueError("only byte-level tokenizers without a normalizer are supported")
-        letters = _byte_letters()
+        letters = byte_letters()
         decode = lambda s: bytes(letters[c] for c in s)
         self.special = [t["content"] for t in data["added_tokens"] if t["special"]]
         self.ids = {decode(s): i for s, i in data["model"]["vocab"].items() if s not in self.special}
