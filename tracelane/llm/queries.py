@@ -119,13 +119,14 @@ def op10_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
-    done = suffix.remove_repeats(documents, size=400, keep="none", whole_letters=False)
+    done = suffix.remove_repeats(documents, size=400, keep="none", whole_letters=False, full=True)
     return done.select(
         "doc_id",
         "n_bytes",
         F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["length"]).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         "kept_sha256",
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),  # a run may cut a letter
     )
 
 

@@ -316,7 +316,7 @@ def _covered(text: bytes, spans: list[dict] | None, whole: bool) -> list[tuple[i
     return [(a, b) for a, b in merged if a < b]
 
 
-def _removed(whole: bool, words: bool):
+def _removed(whole: bool, words: bool, full: bool):
     def work(batches):
         for batch in slices(batches):
             out = {k: [] for k in ("n_bytes", "removed", "kept", "kept_sha256")}
@@ -334,7 +334,7 @@ def _removed(whole: bool, words: bool):
                 kept = b"".join([*parts, data[at:]])
                 out["n_bytes"].append(len(data))
                 out["removed"].append([{"start": a, "length": b - a} for a, b in runs])
-                out["kept"].append(kept if runs else None)
+                out["kept"].append(kept if runs or full else None)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             rest = {"row": batch.column(3)} if batch.num_columns > 3 else {}
             yield {"id": batch.column(0), **out, **rest}
@@ -351,12 +351,13 @@ def remove_repeats(
     whole_letters: bool = True,
     carry: bool = False,
     words: bool = False,
+    full: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: ``<id>, n_bytes, removed, kept, kept_sha256``.
 
     Every byte that a repeated string of ``size`` bytes covers goes: with ``keep="first"`` the first copy (by id,
     then place) stays, with ``keep="none"`` none does.  ``removed`` lists the maximal runs (start, length);
-    ``kept`` is the rest, null when nothing was removed; ``whole_letters`` keeps UTF-8 letters that a run would cut.
+    ``kept`` is the rest, null when nothing was removed unless ``full``; ``whole_letters`` keeps UTF-8 letters that a run would cut.
     ``carry`` adds ``row``, the input row as a struct, so that no join has to bring it back.
 
     With ``words``, ``size`` counts words: bytes between blanks (ASCII white space).  Rows of ``size`` equal words are
@@ -371,5 +372,5 @@ def remove_repeats(
     table = docs.select(F.col(id).cast("long").alias("id"), raw(text).alias("text"), *rest)
     schema = "id long, n_bytes long, removed array<struct<start:long,length:long>>, kept binary, kept_sha256 string"
     joined = table.join(spans, "id", "left").select("id", "text", "spans", *["row"] * carry)
-    done = in_arrow(joined, _removed(whole_letters, words), schema + carried_type(docs) * carry)
+    done = in_arrow(joined, _removed(whole_letters, words, full), schema + carried_type(docs) * carry)
     return done.withColumnRenamed("id", id)
