@@ -178,6 +178,20 @@ def range_blocks(rows: DataFrame, order: list[str]) -> DataFrame:
     return checkpointed(ranged)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number rows from 0 in the order of a sort key, without bringing them all to one task.
+
+    Each range of the sorted rows (``range_blocks``) is numbered on its own, after the rows of earlier ranges; the
+    ranges' sizes are a table of one row per range.
+    """
+    blocks = range_blocks(rows, order)
+    sizes = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__block")) - F.col("__size")
+    own = F.row_number().over(Window.partitionBy("__block").orderBy(*order))
+    placed = blocks.withColumn("__own", own).join(sizes.select("__block", before.alias("__before")), "__block")
+    return placed.select(*rows.columns, (F.col("__before") + F.col("__own") - 1).cast("long").alias(name))
+
+
 def last_known_before(
     rows: DataFrame, group: list[str], order: str, values: list[str], names: list[str]
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelane import sources as so
 from tracelane.operators import design as de
 from tracelane.operators.cohort import union_cohorts
-from tracelane.operators.skew import ensure_checkpoint_dir
+from tracelane.operators.skew import ensure_checkpoint_dir, numbered
 from tracelane.plans.catalogue import query
 from tracelane.plans.driver_tables import (
     model_events,
@@ -25,7 +25,8 @@ from tracelane.plans.queries_rows import PARTS, part_recordings
 from tracelane.plans.queries_trials import two_cohorts
 
 SEED = 20
-REPLICAS = 3
+REPLICAS = 2
+CRITICAL, FILLER, POOL = 20, 40, 60  # items of a list, and distractors of a pool
 
 # the items of a design: critical items from the parts, fillers from the suppliers
 ITEMS = "items AS (SELECT 'part' || p_partkey AS item, p_partkey AS item_no FROM part)"
@@ -37,9 +38,20 @@ FILLERS = """fillers AS (SELECT 'supp' || s_suppkey AS trial, c.condition,
     (VALUES (0, 'FillerL'), (1, 'FillerL'), (2, 'FillerR'), (3, 'FillerR')) c(no, condition))"""
 EVERYTHING = f"""{ITEMS}, {SQUARE}, {FILLERS},
 everything AS (SELECT * FROM square UNION ALL SELECT * FROM fillers)"""
-LISTS = f"""{EVERYTHING},
-lists AS (SELECT trial, "group" || '_' || j AS list, "group" || '_' || j || condition AS condition
-    FROM everything CROSS JOIN (SELECT unnest(range(1, {REPLICAS + 1})) AS j))"""
+# sets of 20 critical items, each with one of the sets of 40 fillers
+SETS = f"""cnum AS (SELECT 'part' || p_partkey AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS no FROM part),
+fnum AS (SELECT 'supp' || s_suppkey AS item, row_number() OVER (ORDER BY s_suppkey) - 1 AS no FROM supplier),
+sets AS (SELECT no // {CRITICAL} AS item_set, item AS trial, c.condition,
+    CAST((c.no2 + no % {CRITICAL} // 5) % 4 + 1 AS INTEGER) AS "group" FROM cnum CROSS JOIN
+    (VALUES (0, 'FluentL'), (1, 'FluentR'), (2, 'DisfluentL'), (3, 'DisfluentR')) c(no2, condition)
+    UNION ALL SELECT s.item_set, f.item, c.condition,
+    CAST((c.no2 + f.no % {FILLER} // 10) % 4 + 1 AS INTEGER) FROM (SELECT DISTINCT no // {CRITICAL} AS item_set FROM cnum) s
+    JOIN fnum f ON f.no // {FILLER} = s.item_set % (SELECT max(no) // {FILLER} + 1 FROM fnum) CROSS JOIN
+    (VALUES (0, 'FillerL'), (1, 'FillerL'), (2, 'FillerR'), (3, 'FillerR')) c(no2, condition))"""
+LISTS = f"""{SETS},
+lists AS (SELECT trial, item_set || '_' || "group" || '_' || j AS list,
+    item_set || '_' || "group" || '_' || j || condition AS condition
+    FROM sets CROSS JOIN (SELECT unnest(range(1, {REPLICAS + 1})) AS j))"""
 LAYERED = f"""{LISTS},
 layered AS (SELECT trial, list, condition, layer, CASE
     WHEN layer = 'audio' AND condition LIKE '%Filler%' THEN 'f_' || trial || '_.wav'
@@ -50,11 +62,16 @@ layered AS (SELECT trial, list, condition, layer, CASE
     WHEN layer = 'image-left' AND condition LIKE '%L' THEN 't_' || trial || '.png'
     WHEN layer = 'image-right' AND condition LIKE '%R' THEN 't_' || trial || '.png' END AS value
     FROM lists CROSS JOIN (VALUES ('image-left'), ('image-right'), ('audio')) l(layer))"""
-PAIRED = f"""placed AS (SELECT list, trial, row_number() OVER (PARTITION BY list
-    ORDER BY md5('{SEED}:' || list || ':' || trial), trial) AS place FROM (SELECT DISTINCT list, trial FROM lists)),
-paired AS (SELECT placed.list, placed.trial, 'd' || c_custkey || '.png' AS distractor FROM placed
-    JOIN customer ON c_custkey = (place - 1) % (SELECT count(*) FROM customer))"""
-SHUFFLED = f"""labelled AS (SELECT "group" || '_' || j AS list, trial, condition FROM everything
+PAIRED = f"""pools AS (SELECT greatest(1, count(*) // {POOL}) AS n FROM customer),
+pool AS (SELECT 'd' || c_custkey || '.png' AS distractor, no % n AS pool_set, no // n AS pool_no FROM (
+    SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS no FROM customer), pools),
+sizes AS (SELECT pool_set, count(*) AS size FROM pool GROUP BY pool_set),
+placed AS (SELECT list, trial, row_number() OVER (PARTITION BY list
+    ORDER BY md5('{SEED}:' || list || ':' || trial), trial) AS place,
+    CAST('0x' || substr(md5(list), 1, 8) AS BIGINT) % (SELECT n FROM pools) AS pool_set FROM (SELECT DISTINCT list, trial FROM lists)),
+paired AS (SELECT placed.list, placed.trial, pool.distractor FROM placed JOIN sizes USING (pool_set)
+    JOIN pool ON pool.pool_set = placed.pool_set AND pool.pool_no = (place - 1) % size)"""
+SHUFFLED = f"""labelled AS (SELECT item_set || '_' || "group" || '_' || j AS list, trial, condition FROM sets
     CROSS JOIN (SELECT unnest(range(1, {REPLICAS + 1})) AS j)),
 withchecks AS (SELECT * FROM labelled UNION ALL SELECT list, a.trial, 'attention' FROM
     (SELECT DISTINCT list FROM labelled) CROSS JOIN (VALUES ('att1'), ('att2'), ('att3'), ('att4')) a(trial)),
@@ -81,8 +98,14 @@ def everything(spark, sf):
     return de.latin_square(critical_items(spark, sf)).union(de.filler_square(filler_items(spark, sf)))
 
 
+def sets(spark, sf):
+    """All items in sets of a session's length."""
+    critical = de.latin_square(de.item_sets(critical_items(spark, sf), CRITICAL))
+    return de.with_fillers(critical, de.filler_square(de.item_sets(filler_items(spark, sf), FILLER)))
+
+
 def lists(spark, sf):
-    return de.expand_lists(everything(spark, sf), REPLICAS)
+    return de.expand_lists(sets(spark, sf), REPLICAS)
 
 
 @query("e1_latin_square", f"WITH {ITEMS}, {SQUARE} SELECT * FROM square")
@@ -107,18 +130,22 @@ def e3(spark, sf):
 
 @query("e4_expand_lists", f"WITH {LISTS} SELECT trial, list, condition FROM lists")
 def e4(spark, sf):
-    return lists(spark, sf)
+    return lists(spark, sf).select("trial", "list", "condition")
 
 
 @query("e5_assign_layer_values", f"WITH {LAYERED} SELECT trial, list, condition, layer, value FROM layered")
 def e5(spark, sf):
-    return de.assign_layer_values(de.expand_layers(lists(spark, sf)))
+    layers = de.assign_layer_values(de.expand_layers(lists(spark, sf)))
+    return layers.select("trial", "list", "condition", "layer", "value")
 
 
 def pairing(spark, sf):
     trials = lists(spark, sf).select("list", "trial").distinct()
-    pool = table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("pool_no"),
+    customer = numbered(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], "no")
+    pools = customer.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / POOL)).cast("long").alias("n")).scalar()
+    pool = customer.withColumn("n", pools).select(
+        F.pmod("no", "n").alias("pool_set"),
+        F.floor(F.col("no") / F.col("n")).cast("long").alias("pool_no"),
         F.concat(F.lit("d"), F.col("c_custkey").cast("string"), F.lit(".png")).alias("distractor"),
     )
     return de.random_pairing(trials, pool, SEED)
@@ -139,11 +166,11 @@ def j15(spark, sf):
     return de.attach_distractors(layers, pairing(spark, sf)).select("trial", "list", "condition", "layer", "value")
 
 
-SHUFFLED_SQL = f"WITH {EVERYTHING}, {SHUFFLED} SELECT list, trial, condition, position, line FROM shuffled"
+SHUFFLED_SQL = f"WITH {SETS}, {SHUFFLED} SELECT list, trial, condition, position, line FROM shuffled"
 
 
 def ordered_lists(spark, sf):
-    return de.shuffled_list(everything(spark, sf), SEED, REPLICAS)
+    return de.shuffled_list(sets(spark, sf), SEED, REPLICAS)
 
 
 @query("e7_shuffled_list", SHUFFLED_SQL)
@@ -187,16 +214,18 @@ def r6_rows(spark, sf):
 
 @query(
     "trial_documents",
-    f"""WITH {LAYERED} SELECT trial AS name, count(DISTINCT condition) AS n_conditions, count(*) AS n_values
-    FROM layered GROUP BY trial""",
+    f"""WITH {LAYERED}, {PAIRED} SELECT l.trial AS name, l.condition, l.layer, coalesce(l.value, p.distractor) AS value
+    FROM layered l LEFT JOIN paired p ON p.list = l.list AND p.trial = l.trial""",
 )
 def trial_docs(spark, sf):
-    """Shape of the nested trial documents: conditions per trial and files over all of them."""
-    docs = de.trial_documents(de.assign_layer_values(de.expand_layers(lists(spark, sf))))
-    values = F.aggregate("conditions", F.lit(0), lambda n, c: n + F.size(c["variables"]))
-    return docs.select(
-        "name", F.size("conditions").cast("long").alias("n_conditions"), values.cast("long").alias("n_values")
-    )
+    """The nested trial documents written as JSON, read back and taken apart: every file of every layer."""
+    layers = de.assign_layer_values(de.expand_layers(lists(spark, sf)))
+    documents = de.trial_documents(de.attach_distractors(layers, pairing(spark, sf)))
+    folder = scratch(spark, "trials")
+    so.write_design(documents, folder)
+    back = spark.read.schema(documents.schema).json(folder)
+    conditions = back.select("name", F.explode("conditions").alias("c"))
+    return conditions.select("name", F.col("c.name").alias("condition"), F.inline("c.variables"))
 
 
 def scratch(spark, name: str) -> str:
@@ -279,7 +308,7 @@ def s5(spark, sf):
     return so.classify_files(table(spark, sf, "part").select(name.alias("file_name")))
 
 
-@query("s6_design_documents", f"WITH {EVERYTHING}, {SHUFFLED} SELECT list, position, line FROM shuffled")
+@query("s6_design_documents", f"WITH {SETS}, {SHUFFLED} SELECT list, position, line FROM shuffled")
 def s6(spark, sf):
     """The list documents written as JSON, read back and taken apart."""
     folder = scratch(spark, "lists")
