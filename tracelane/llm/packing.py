@@ -23,7 +23,7 @@ from tracelane.llm.tokens import byte_letters
 
 _lock, _loaded = threading.Lock(), {}
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 """Text that one pass over its distinct parts takes; a longer document makes a slice of its own."""
 
 _SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
@@ -79,14 +79,14 @@ class WordEncoder:
         self.ids = np.array(self.ids, np.uint32)
         self.last = np.array([t.endswith(b"\0") for t in ranks])
         self.coder = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _odd(self, parts: list[bytes]) -> list[list[int]]:
+    def _odd(self, parts: list[bytes]) -> list[bytes]:
         if len(self.known) + len(parts) > CACHE_ENTRIES:
             self.known.clear()  # frequent words come back at once
         new = [p for p in parts if p not in self.known]
         found = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        self.known.update((p, e.ids) for p, e in zip(new, found))
+        self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found))
         return [self.known[p] for p in parts]
 
     def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +102,11 @@ class WordEncoder:
         each = np.zeros(len(parts), np.int64)
         each[plain] = np.diff(np.flatnonzero(self.last[ranks]), prepend=-1)
         rest = self._odd(parts.filter(pa.array(odd)).to_pylist())
-        each[odd] = [len(r) for r in rest]
+        each[odd] = [len(r) // 4 for r in rest]
         out = np.zeros(int(each.sum()), np.uint32)
         firsts = np.cumsum(each) - each
         out[places(firsts[plain], each[plain])] = self.ids[ranks]
-        out[places(firsts[odd], each[odd])] = [x for r in rest for x in r]
+        out[places(firsts[odd], each[odd])] = np.frombuffer(b"".join(rest), "<u4")
         return out, each
 
     def texts(self, column: pa.Array) -> list[np.ndarray]:
@@ -120,15 +120,13 @@ class WordEncoder:
         edge[offsets] = True
         word = full.copy()
         word[1:] &= ~full[:-1] | edge[1:-1]
-        number = np.cumsum(word) - 1
+        number = np.cumsum(word, dtype=np.int32) - 1  # one value a byte: kept small
         odd = np.bincount(number[kind == _ODD], minlength=int(word.sum())) > 0
         start = word.copy()
         inner = full[1:] & full[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
         start[1:] |= inner & ~odd[number[1:]]
         starts = np.flatnonzero(start)
-        spaces = np.concatenate([[0], np.cumsum(~full)])
-        ends = np.append(starts[1:], len(data))
-        sizes = ends - starts - (spaces[ends] - spaces[starts])  # white space follows words only
+        sizes = np.add.reduceat(full, starts, dtype=np.int64)  # white space follows words only
         kept = np.where(odd[number], data, _LOWER[data])[places(starts, sizes)]
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         parts = pa.Array.from_buffers(
