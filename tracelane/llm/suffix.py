@@ -104,6 +104,16 @@ def stretches(text: np.ndarray, size: int, part: int) -> tuple[np.ndarray, ...]:
     return parts[at[first]], content, first, end - first
 
 
+def _merged(start: np.ndarray, length: np.ndarray) -> list[dict]:
+    """Stretches in order of their starts as maximal runs."""
+    if not len(start):
+        return []
+    end = np.maximum.accumulate(start + length)
+    cut = np.flatnonzero(start[1:] > end[:-1]) + 1
+    begin, last = start[np.append(0, cut)], end[np.append(cut, len(end)) - 1]
+    return [{"start": a, "length": n} for a, n in zip(begin.tolist(), (last - begin).tolist())]
+
+
 def _anchored(size: int, part: int, first: bool, words: bool):
     def work(batches):
         for batch in slices(batches):
@@ -119,7 +129,7 @@ def _anchored(size: int, part: int, first: bool, words: bool):
                     again = count[of] > 1
                     if first:
                         again[once] = False
-                    own = [{"start": a, "length": n} for a, n in zip(start[again].tolist(), length[again].tolist())]
+                    own = _merged(start[again], length[again])
                     found = [
                         {"anchor": a, "content": c, "start": s, "length": n, "times": t}
                         for a, c, s, n, t in zip(
@@ -368,9 +378,10 @@ def remove_repeats(
     An empty table gives no rows.
     """
     spans = repeated_spans(docs, id, text, size, keep, words)
-    rest = [carried(docs)] if carry else []
-    table = docs.select(F.col(id).cast("long").alias("id"), raw(text).alias("text"), *rest)
+    # a row that is carried has the text already, which crosses the network once
+    table = docs.select(F.col(id).cast("long").alias("id"), carried(docs) if carry else raw(text).alias("text"))
     schema = "id long, n_bytes long, removed array<struct<start:long,length:long>>, kept binary, kept_sha256 string"
-    joined = table.join(spans, "id", "left").select("id", "text", "spans", *["row"] * carry)
+    whole = raw(F.col(f"row.`{text}`")).alias("text") if carry else F.col("text")
+    joined = table.join(spans, "id", "left").select("id", whole, "spans", *["row"] * carry)
     done = in_arrow(joined, _removed(whole_letters, words, full), schema + carried_type(docs) * carry)
     return done.withColumnRenamed("id", id)
