@@ -194,9 +194,10 @@ def near_duplicates(
     members = stored(buckets.join(shared, "bucket").select("bucket", "hub", "id", "n", "more"))
 
     pairs = stored(members.where("id <> hub").groupBy("hub", "id").agg(F.max("more").alias("more")))
-    wanted = pairs.select("id").union(pairs.select("hub")).distinct()
-    sets = in_arrow(table.join(wanted, "id", "left_semi"), _sets(words), "id long, items array<long>")
-    sets = stored(sets.dropDuplicates(["id"]))
+    # stored first: the planner then knows the size of the ids before it decides whether texts must be shuffled
+    wanted = stored(pairs.select("id").union(pairs.select("hub")).distinct())
+    sets = stored(in_arrow(table.join(wanted, "id", "left_semi"), _sets(words), "id long, items array<long>"))
+    sets = sets.dropDuplicates(["id"])  # one exchange by id, which both joins below use
     both = F.size(F.array_intersect("x", "y")).cast("long")
     whole = F.size("x").cast("long") + F.size("y")
     met = pairs.join(sets.withColumnRenamed("items", "x"), "id")
