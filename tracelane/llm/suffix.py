@@ -287,7 +287,8 @@ def repeated_spans(
 
     hot = (F.col("bytes") > HOT_BYTES).alias("hot")
     wanted = classes.join(several.select("anchor", hot), "anchor")
-    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "length", "hot")).alias("wanted"))
+    # stored first: the planner then knows its size before it decides whether texts must be shuffled
+    wanted = stored(wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "length", "hot")).alias("wanted")))
     pieces = in_arrow(
         table.join(wanted, "id").select("id", "text", "wanted"),
         _cut_out(words),
@@ -377,7 +378,7 @@ def remove_repeats(
     repeat an id should have equal texts: they are one place, and each is cut alike.  Matches never cross documents.
     An empty table gives no rows.
     """
-    spans = repeated_spans(docs, id, text, size, keep, words)
+    spans = stored(repeated_spans(docs, id, text, size, keep, words))
     # a row that is carried has the text already, which crosses the network once
     table = docs.select(F.col(id).cast("long").alias("id"), carried(docs) if carry else raw(text).alias("text"))
     schema = "id long, n_bytes long, removed array<struct<start:long,length:long>>, kept binary, kept_sha256 string"
