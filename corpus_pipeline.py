@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = marked.where("not kept").select("doc_id").distinct()
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = stored(again.join(gone, "doc_id", "left_anti"))
-    once = docs.join(gone.union(again), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(stored(gone.union(again)), "doc_id", "left_anti").select(*docs.columns)
     rest = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(rest.select(*docs.columns))
 
