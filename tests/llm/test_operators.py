@@ -275,6 +275,48 @@ def test_packing_plan():
         assert len(room) <= first_fit([n for n, c in counts.items() for _ in range(c)], capacity) + 1
 
 
+def fewest(lengths, capacity):
+    """Fewest sequences, by trying every set that the longest piece can share one with."""
+    if not lengths:
+        return 0
+    first, rest = lengths[0], lengths[1:]
+    best = len(lengths)
+    for mask in range(1 << len(rest)):
+        chosen = [n for i, n in enumerate(rest) if mask >> i & 1]
+        if first + sum(chosen) <= capacity:
+            best = min(best, 1 + fewest([n for i, n in enumerate(rest) if not mask >> i & 1], capacity))
+    return best
+
+
+def test_packing_reduction_keeps_a_best_packing():
+    rng = random.Random(4)
+    settled = Counter()
+    for _ in range(60):
+        capacity = rng.choice([7, 10, 13])
+        pieces = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 7))), reverse=True)
+        left = Counter(pieces)
+        for n in left:
+            best = packing._dominating(sorted(left), left, n, capacity)
+            settled[best is not None] += 1
+            if best is not None:
+                rest = sorted((left - Counter([n] + [best] * (best > 0))).elements(), reverse=True)
+                assert fewest(pieces, capacity) == 1 + fewest(rest, capacity), (pieces, n, best)
+    assert min(settled.values()) > 10
+
+
+def test_packing_plan_fixes_every_exact_complement():
+    # 6 + 3 + 1 is open as three pieces fit, yet 5 + 5 and 8 + 2 behind it are fixed
+    counts = {6: 4, 5: 2, 3: 4, 1: 9, 8: 1, 2: 1}
+    runs = packing.plan(counts, 10)
+    ends = Counter()
+    for n, low, high, each, sequence, offset in runs:
+        for r in range(low, high):
+            ends[sequence + (r - low) // each] += n
+    assert sum(v == 10 for v in ends.values()) >= 2
+    assert len({s for s in ends}) == -(-sum(n * c for n, c in counts.items()) // 10)
+    assert len({run[4] for run in packing.plan({5: 1, 1: 1}, 10)}) == 1
+
+
 def test_conversations(spark):
     rows = [
         (1, 10, None, "user", "hi ### x", 0.0), (1, 11, 10, "assistant", "a\\b</turn>", 0.2), (1, 12, 10, "assistant", "better", 0.9),
@@ -408,3 +450,33 @@ def test_quality(spark, none):
 def test_isotonic_steps():
     steps = quality.isotonic(np.array([10, 20, 30]), np.array([3.0, 1.0, 4.0]), np.array([4.0, 4.0, 4.0]))
     assert steps[0] == steps[25] == 0.5 and steps[30] == 1.0 and (np.diff(steps) >= 0).all()
+
+
+def test_quality_calibrated_by_other_groups(spark):
+    rng = random.Random(8)
+    words = "alpha beta gamma delta of the and to in it was".split()
+    text = lambda share: " ".join("NOW!!" if rng.random() < share else rng.choice(words) for _ in range(80)) + "."
+    shares = [rng.random() for _ in range(500)]
+    rows = [(i, text(s)) for i, s in enumerate(shares)] + [(None, "of the"), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(rng.random() > s)) for i, s in enumerate(shares)], "doc_id long, quality int")
+    group = F.col("doc_id") % 5
+    found = quality.score(table, labels, group != 0, group != 0, group=group).collect()
+    scores = {r["doc_id"]: r["score"] for r in found if r["doc_id"] not in (None, 3)}
+    assert len(found) == 502 and all(0 < r["score"] < 1 for r in found)
+    assert len(set(scores.values())) > 250
+    held = [i for i in scores if i % 5 == 0]
+    order = np.argsort(np.argsort([scores[i] for i in held]))
+    assert np.corrcoef(order, [-shares[i] for i in held])[0, 1] > 0.9
+    # labels of the group left out decide nothing
+    turned = labels.withColumn("quality", F.when(group == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = {r["doc_id"]: r["score"] for r in quality.score(table, turned, group != 0, group != 0, group=group).collect()}
+    assert all(abs(again[i] - scores[i]) < 1e-6 for i in scores)
+
+
+def test_calibration_rises_between_the_steps():
+    bins, rows = np.array([10, 20, 30, 40]), np.array([4.0, 4.0, 4.0, 4.0])
+    curve = quality.calibration(bins, np.array([0.0, 3.0, 1.0, 4.0]), rows)
+    assert (np.diff(curve) > 0).all() and curve[25] == 0.5 and 0 < curve[0] < curve[10] < 0.04
+    assert 0.96 < curve[40] < curve[-1] < 1
+    assert set(quality.calibration(np.array([]), np.array([]), np.array([]))) == {0.5}

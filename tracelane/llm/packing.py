@@ -176,14 +176,43 @@ def pieces(
     return in_arrow(table, _pieces(tokenizer, capacity, last), schema).withColumnRenamed("id", id)
 
 
+def _dominating(lengths: list[int], left: dict[int, int], n: int, capacity: int) -> int | None:
+    """What a piece of length ``n`` shares a sequence with in some best packing: 0 for nothing, a length, None if
+    sets of three pieces don't settle it.
+
+    A set dominates another if its pieces can be swapped for groups of the other's that are no longer.  An exact
+    complement dominates all; the longest piece that fits dominates if no two others fit, or if no three do and it
+    is as long as any two that fit.
+    """
+    rest = capacity - n
+    others = {m: left[m] - (m == n) for m in lengths[: bisect_right(lengths, rest)]}
+    fitting = [m for m, c in others.items() if c]
+    if not fitting:
+        return 0
+    best = fitting[-1]
+    least = [m for m in fitting[:3] for _ in range(min(3, others[m]))][:3]
+    if best == rest or len(least) < 2 or least[0] + least[1] > rest:
+        return best
+    if len(least) == 3 and sum(least) <= rest:
+        return None
+    a = np.array(fitting)
+    single = np.array([others[m] == 1 for m in fitting])
+    room = np.minimum(rest - a, a)
+    mate = np.searchsorted(a, room, "right") - 1
+    mate -= (mate == np.arange(len(a))) & single
+    pairs = np.where(mate >= 0, a + a[mate], 0)
+    return best if pairs.max() <= best else None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Runs ``(length, low, high, each, sequence, offset)``: the pieces of that length with rank r in [low, high)
     go to sequence ``sequence + (r - low) // each`` at ``offset + (r - low) % each * length``.
 
-    First the reduction: while the longest piece left has a set of at most two pieces that no other choice betters,
-    that sequence is fixed: alone if not even the shortest fits beside it; with its exact complement; or, if no two
-    others fit with it, with the longest that fits.  As all pieces of a length are alike, a set is fixed as often as
-    both lengths last.  The rest is packed by falling length, each piece into the fullest sequence that takes it.
+    First the reduction: for each length from the longest down, a sequence is fixed where a set of at most two
+    pieces dominates every other choice (``_dominating``).  As all pieces of a length are alike, a set is fixed as
+    often as both lengths last.  As what is fixed leaves fewer choices to the rest, the lengths are gone through
+    until nothing more is fixed.  The remainder is packed by falling length, each piece into the fullest sequence
+    that takes it.
     """
     left = {n: c for n, c in counts.items() if c > 0}
     used = dict.fromkeys(left, 0)
@@ -199,31 +228,23 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             lengths.remove(n)
 
     lengths = sorted(left)
-    while lengths:
-        n = lengths[-1]
-        rest = capacity - n
-        fitting = bisect_right(lengths, rest)
-        if not fitting:
-            times = left[n]
-            put(n, times, 1, made, 0)
-            made += times
-            continue
-        best = lengths[fitting - 1]
-        two = 2 * lengths[0] if left[lengths[0]] > 1 or len(lengths) == 1 else lengths[0] + lengths[1]
-        if best == n and left[n] == 1:
-            put(n, 1, 1, made, 0)
-            made += 1
-        elif best == rest or two > rest:
-            if best == n:
-                times = left[n] // 2
-                put(n, 2 * times, 2, made, 0)
-            else:
-                times = min(left[n], left[best])
-                put(n, times, 1, made, 0)
-                put(best, times, 1, made, n)
-            made += times
-        else:
-            break
+    fixed = -1
+    while fixed != made:
+        fixed = made
+        for n in sorted(left, reverse=True):
+            while n in left:
+                best = _dominating(lengths, left, n, capacity)
+                if best is None:
+                    break
+                if best == n:
+                    times = left[n] // 2
+                    put(n, 2 * times, 2, made, 0)
+                else:
+                    times = min(left[n], left[best]) if best else left[n]
+                    put(n, times, 1, made, 0)
+                    if best:
+                        put(best, times, 1, made, n)
+                made += times
 
     free: dict[int, list[tuple[int, int]]] = {}
     rooms: list[int] = []

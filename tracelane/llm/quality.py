@@ -1,9 +1,10 @@
 """Quality scores of documents: random Fourier features of text statistics, ridge regression, isotonic calibration.
 
 The features ``cos(w x + b)`` with normal w approximate a Gaussian kernel on the standardised statistics.  Their
-normal equations are sums, so every partition adds up its own and the parts are added by row; the driver solves a
-system of fixed size.  Labelled rows outside the fit calibrate the raw scores: counts per narrow bin of the score,
-then pooling of adjacent violators, give a score that never falls as the raw score rises.
+normal equations are sums, so every partition adds up its own and the parts are added by row; the driver solves
+systems of fixed size.  Labelled rows calibrate the raw scores that a fit without their own group gives them: counts
+per narrow bin of the score, then pooling of adjacent violators, give rising steps, and straight lines between the
+middles of the steps a score that never falls as the raw score rises.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,24 +100,38 @@ def _matrix(column) -> np.ndarray:
 
 def _sums(kernel: Kernel):
     def work(batches):
-        total = np.zeros((FEATURES + 1, FEATURES + 2))
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
+            group = batch.column(2).to_numpy()
             if batch.num_rows:
                 z = kernel(_matrix(batch.column(0)))
-                total += z.T @ np.column_stack([z, batch.column(1).to_numpy()])
-        yield {"row": list(range(FEATURES + 1)), "sums": list(total)}
+                both = np.column_stack([z, batch.column(1).to_numpy()])
+            for g in np.unique(group).tolist():
+                own = group == g
+                totals[g] = totals.get(g, 0) + z[own].T @ both[own]
+        for g, total in totals.items():
+            yield {"part": [g] * len(total), "row": list(range(len(total))), "sums": list(total)}
 
     return work
 
 
-def _added(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"row": rows["row"].iloc[:1], "sums": [np.sum(np.stack(rows["sums"]), axis=0)]})
+def _solved(sums: np.ndarray, rows: float) -> np.ndarray:
+    penalty = RIDGE * rows * np.append(np.ones(FEATURES), 0) + 1e-9
+    return np.linalg.solve(sums[:, :-1] + np.diag(penalty), sums[:, -1])
 
 
-def _scored(kernel: Kernel, weights: np.ndarray, keep: int):
+def _scored(kernel: Kernel, weights: np.ndarray, keep: int, others: dict[int, np.ndarray] | None = None):
+    """The first ``keep`` columns and the bin of the raw score; ``others``: weights for groups, which column 1 names."""
+
     def work(batches):
         for batch in batches:
-            raw_score = kernel(_matrix(batch.column(keep))) @ weights if batch.num_rows else np.empty(0)
+            z = kernel(_matrix(batch.column(keep))) if batch.num_rows else np.zeros((0, FEATURES + 1))
+            raw_score = z @ weights
+            if others:
+                group = batch.column(1).to_numpy()
+                for g, own_weights in others.items():
+                    own = group == g
+                    raw_score[own] = z[own] @ own_weights
             yield {**{n: batch.column(i) for i, n in enumerate(batch.schema.names[:keep])}, "bin": binned(raw_score)}
 
     return work
@@ -142,6 +156,23 @@ def isotonic(bins: np.ndarray, ones: np.ndarray, rows: np.ndarray) -> np.ndarray
     return np.array([x[1] / x[2] for x in blocks])[np.maximum(place, 0)]
 
 
+def calibration(bins: np.ndarray, ones: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The steps of ``isotonic`` as points at the mean bins of their rows, joined by straight lines.
+
+    Steps of 0 and 1 move inwards by half a row in all rows, and the lines end at 0 and 1 outside the bins, so that
+    scores still differ beyond the outermost steps.
+    """
+    steps = isotonic(bins, ones, rows)
+    if not len(bins):
+        return steps
+    bins = bins.astype(np.int64)
+    values, of = np.unique(steps[bins], return_inverse=True)
+    middle = np.bincount(of, bins * rows) / np.bincount(of, rows)
+    edge = 0.5 / rows.sum()
+    values = np.clip(values, edge, 1 - edge)
+    return np.interp(np.arange(BINS), np.concatenate([[-1], middle, [BINS]]), np.concatenate([[0], values, [1]]))
+
+
 def score(
     docs: DataFrame,
     labels: DataFrame,
@@ -151,50 +182,70 @@ def score(
     text: str = "text",
     label: str = "quality",
     carry: bool = False,
+    group: Column | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: ``<id>, score`` between 0 and 1, higher where label 1 is likelier.
 
     ``labels`` (id, label 0 or 1): ``fit`` and ``calibrate`` are conditions on the id that choose the rows for the
-    regression and for the calibration; all such rows are used.  Statistics see whole texts and nothing else.
+    regression and for the calibration; all such rows are used.  ``group``, a whole number made from the id (a few
+    values), lets rows serve for both: a row of a group is then calibrated by the fit of all rows of other groups.
+    Statistics see whole texts and nothing else.
     ``carry`` adds ``row``, the input row as a struct; then texts are measured again where they lie, not joined.
 
     Rows of ``labels`` with a null id, a null label or one that is neither 0 nor 1 are left out; labels that repeat
-    an id count as rows; null and empty texts have statistics 0 and are scored like others.  Without rows to fit or
-    to calibrate every score is 0.5.  An empty table gives no rows.
+    an id count as rows; null and empty texts have statistics 0 and are scored like others, as are rows with a null id
+    and repeated rows.  Very long texts are measured whole, one at a time.  Without rows to fit or to calibrate every
+    score is 0.5.  An empty table gives no rows.
     """
     table = docs.select(F.col(id).alias("id"), raw(text).alias("text"))
     kind = dict(table.dtypes)["id"]
     if carry:  # only labelled texts are needed for the fit
         table = table.join(labels.select(F.col(id).alias("id")).distinct(), "id", "left_semi")
     measured = stored(in_arrow(table, _measured, f"id {kind}, x array<double>"))
-    known = labels.select(F.col(id).alias("id"), F.col(label).cast("double").alias("y"), fit.alias("f"), calibrate.alias("c"))
+    number = F.lit(None) if group is None else group
+    known = labels.select(
+        F.col(id).alias("id"),
+        F.col(label).cast("double").alias("y"),
+        fit.alias("f"),
+        calibrate.alias("c"),
+        F.coalesce(number.cast("int"), F.lit(-1)).alias("g"),
+    )
     known = known.where("id is not null and y in (0.0, 1.0) and (f or c)")
-    rows = stored(known.join(measured, "id").select("x", "y", "f", "c"))
-    training = rows.where("f").select("x", "y")
+    rows = stored(known.join(measured, "id").select("x", "y", "f", "c", "g"))
+    training = rows.where("f").select("x", "y", "g")
     each = [F.element_at("x", i + 1) for i in range(len(STATISTICS))]
     moments = training.select(F.count("*"), *[F.avg(e) for e in each], *[F.stddev_pop(e) for e in each]).first()
+    others: dict[int, np.ndarray] = {}
     if moments[0]:
         middle = 1 + len(STATISTICS)
         kernel = Kernel(np.array(moments[1:middle], float), np.array(moments[middle:], float))
-        parts = in_arrow(training, _sums(kernel), "row int, sums array<double>")
-        added = parts.groupBy("row").applyInPandas(_added, "row int, sums array<double>").collect()
-        sums = np.array([r["sums"] for r in sorted(added, key=lambda r: r["row"])])
-        penalty = RIDGE * moments[0] * np.append(np.ones(FEATURES), 0) + 1e-9
-        weights = np.linalg.solve(sums[:, :-1] + np.diag(penalty), sums[:, -1])
+        parts = in_arrow(training, _sums(kernel), "part int, row int, sums array<double>")
+        # sums in column order keep one row a group and matrix row, however many partitions add to it
+        added = parts.groupBy("part", "row").agg(
+            F.array(*[F.sum(F.element_at("sums", i + 1)) for i in range(FEATURES + 2)]).alias("sums")
+        )
+        sums: dict[int, np.ndarray] = {}
+        for r in added.collect():
+            sums.setdefault(r["part"], np.zeros((FEATURES + 1, FEATURES + 2)))[r["row"]] = r["sums"]
+        total = sum(sums.values())
+        weights = _solved(total, moments[0])
+        for g, own in sums.items():
+            if g >= 0:  # the last feature is 1, so its sum of squares is the number of rows
+                others[g] = _solved(total - own, moments[0] - own[FEATURES, FEATURES])
     else:
         kernel, weights = Kernel(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS))), np.zeros(FEATURES + 1)
-    held = in_arrow(rows.where("c").select("y", "x"), _scored(kernel, weights, 1), "y double, bin long")
+    held = in_arrow(rows.where("c").select("y", "g", "x"), _scored(kernel, weights, 2, others), "y double, g int, bin long")
     bins = held.groupBy("bin").agg(F.sum("y").alias("ones"), F.count("*").alias("rows")).collect()
-    steps = isotonic(*(np.array([r[i] for r in bins], float) for i in range(3)))
+    curve = calibration(*(np.array([r[i] for r in bins], float) for i in range(3))) if moments[0] else np.full(BINS, 0.5)
 
     def calibrated(batches):
         for columns in _scored(kernel, weights, 1)(batches):
-            yield {"id": columns["id"], "score": steps[columns["bin"]]}
+            yield {"id": columns["id"], "score": curve[columns["bin"]]}
 
     def measured_again(batches):
         for batch in slices(batches):
             x = np.array([statistics(t.as_py()) for t in batch.column(1)], float).reshape(batch.num_rows, -1)
-            found = steps[binned(kernel(x) @ weights)] if len(x) else np.empty(0)
+            found = curve[binned(kernel(x) @ weights)] if len(x) else np.empty(0)
             yield {"id": batch.column(0), "score": found, "row": batch.column(2)}
 
     if carry:
