@@ -22,8 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least ``QUALITY``."""
     labels = _table(spark, sf_dir, "labels")
-    fit, calibrate = fold("doc_id").isin(1, 2, 3), fold("doc_id") == 4
-    scored = quality.score(docs, labels, fit=fit, calibrate=calibrate, carry=True)
+    seen = fold("doc_id") != 0
+    scored = quality.score(docs, labels, fit=seen, calibrate=seen, carry=True, group=fold("doc_id"))
     return scored.where(F.col("score") >= QUALITY).select("row.*")
 
 
