@@ -321,6 +321,23 @@ def test_repair_query(spark, tmp_path, seed):
     assert got == want
 
 
+def test_repair_over_many_tasks(spark, tmp_path):
+    rows = conversations(7)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    spread = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in spread}
+    for k, v in spread.items():
+        spark.conf.set(k, v)
+    try:
+        found = queries.QUERIES["op13_conversation_repair"](spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {c: plain_repair(kept) for c, kept in plain_damage(rows).items()}
+    assert {r[0]: tuple(r)[1:] for r in found} == want
+
+
 def test_repaired_turns_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(repair, "FAN", 3)
     rows = conversations(4)

@@ -379,8 +379,8 @@ def repair_counted(rows: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
     kept = kept.agg(F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn")).alias("first"))
     kept = kept.select("id", "first.turn", "role", digest, F.lit(False).alias("blank"), F.lit(1).cast("long").alias("rows"), "text")
     both = counted.withColumn("text", F.lit(None).cast("string")).unionByName(kept)
-    order = ["id", "turn", "role", "digest", F.col("text").isNull()]
-    both = both.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["id", "turn", "role", "digest"]  # a line and the one that counts it are never in different tasks
+    both = both.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").isNull())
     kind = dict(rows.dtypes)["id"]
     schema = (
         f"id {kind}, task int, own long, {_REPORT}, repaired_sha256 string, turns {_TURN_TYPE}, "
