@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelane.llm import decontaminate, minhash, packing, quality, suffix
-from tracelane.llm.common import stored
+from tracelane.llm.common import sieved, stored
 from tracelane.llm.queries import fold
 
 QUALITY = 0.3
@@ -36,8 +36,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = marked.where("not kept").select("doc_id").distinct()
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = stored(again.join(gone, "doc_id", "left_anti"))
-    once = docs.join(stored(gone.union(again)), "doc_id", "left_anti").select(*docs.columns)
-    rest = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    met = stored(gone.union(again))
+    some, others = sieved(docs, met, "doc_id")
+    once = others.union(some.join(met, "doc_id", "left_anti").select(*docs.columns))
+    rest = some.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(rest.select(*docs.columns))
 
 

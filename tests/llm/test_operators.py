@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelane.llm import chat, decontaminate, embeddings, licenses, minhash, packing, quality, suffix, tokens, warc
+from tracelane.llm import chat, common, decontaminate, embeddings, licenses, minhash, packing, quality, suffix, tokens, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -139,6 +139,55 @@ def test_repeats_keep_whole_letters_and_rows(spark):
         assert r["row"]["extra"] == r["doc_id"] + 6
 
 
+@pytest.mark.parametrize("bits", [common.SIEVE_BITS, 3 << 15, 8])
+def test_sieve_keeps_each_row_and_loses_no_id(spark, bits, monkeypatch):
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    rows = [(i % 3000 if i % 50 else None, f"{i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, `a.b` string")
+    some, others = (part.collect() for part in common.sieved(df, spark.range(0, 3000, 7)))
+    assert sorted(r["a.b"] for r in some + others) == sorted(r[1] for r in rows)
+    assert not [r for r in others if r["id"] is not None and r["id"] % 7 == 0]
+    if bits == common.SIEVE_BITS and bits > 1 << 20:
+        assert len(some) < 700  # about a seventh of the rows
+
+
+def met_by_joins(spark, monkeypatch, module, work, run):
+    """Rows of texts that ``run`` joins with more than a broadcast table on the way to the operator's ``work``."""
+    plans = []
+
+    def in_arrow(df, f, schema):
+        if f.__qualname__.startswith(work):
+            plans.append(df)
+        return common.in_arrow(df, f, schema)
+
+    monkeypatch.setattr(module, "in_arrow", in_arrow)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if no table were small
+    try:
+        run().collect()
+        return [df._jdf.queryExecution().sparkPlan().toString() for df in plans]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_that_lose_nothing_are_not_shuffled(spark, docs, monkeypatch):
+    run = lambda: suffix.remove_repeats(docs, size=120, carry=True)
+    for work in ("_cut_out", "_removed"):
+        (plan,) = met_by_joins(spark, monkeypatch, suffix, work, run)
+        joins = plan.count("SortMergeJoin")
+        assert joins == 1 and plan.count("getbit") == (2 if work == "_removed" else 1), plan
+        assert ("Union" in plan) == (work == "_removed")  # the others pass by the join
+
+
+def test_quality_joins_no_texts(spark, docs, monkeypatch):
+    labels = spark.range(0, 40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    run = lambda: quality.score(docs, labels, F.lit(True), F.lit(True), carry=True)
+    for plan in met_by_joins(spark, monkeypatch, quality, "_measured", run):
+        assert "Join" not in plan
+    for plan in met_by_joins(spark, monkeypatch, quality, "score.<locals>.measured_again", run):
+        assert "Join" not in plan
+
+
 def test_contamination(spark, docs, none, texts):
     rng = random.Random(8)
     passage = next(t for i, t in texts if i == 46).split()

@@ -190,7 +190,7 @@ def score(
     regression and for the calibration; all such rows are used.  ``group``, a whole number made from the id (a few
     values), lets rows serve for both: a row of a group is then calibrated by the fit of all rows of other groups.
     Statistics see whole texts and nothing else.
-    ``carry`` adds ``row``, the input row as a struct; then texts are measured again where they lie, not joined.
+    ``carry`` adds ``row``, the input row as a struct; then texts are measured again where they lie.  No text is joined.
 
     Rows of ``labels`` with a null id, a null label or one that is neither 0 nor 1 are left out; labels that repeat
     an id count as rows; null and empty texts have statistics 0 and are scored like others, as are rows with a null id
@@ -199,8 +199,6 @@ def score(
     """
     table = docs.select(F.col(id).alias("id"), raw(text).alias("text"))
     kind = dict(table.dtypes)["id"]
-    if carry:  # only labelled texts are needed for the fit
-        table = table.join(labels.select(F.col(id).alias("id")).distinct(), "id", "left_semi")
     measured = stored(in_arrow(table, _measured, f"id {kind}, x array<double>"))
     number = F.lit(None) if group is None else group
     known = labels.select(
