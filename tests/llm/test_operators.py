@@ -529,3 +529,33 @@ def test_calibration_rises_between_the_steps():
     assert (np.diff(curve) > 0).all() and curve[25] == 0.5 and 0 < curve[0] < curve[10] < 0.04
     assert 0.96 < curve[40] < curve[-1] < 1
     assert set(quality.calibration(np.array([]), np.array([]), np.array([]))) == {0.5}
+
+
+def test_workers_let_go_of_other_operators_memory(spark):
+    def found(batches):
+        import gc
+
+        for batch in batches:
+            kinds = Counter(type(x).__name__ for x in gc.get_objects())
+            yield {"id": batch.column(0), "n": [kinds["WordEncoder"] + kinds["PrefixCounter"] + kinds["_Words"]] * len(batch)}
+
+    some = spark.createDataFrame([(i, f"a few words of text {i}") for i in range(8)], "id long, text string").repartition(8)
+    probe = common.in_arrow(some, found, "id long, n long")
+    for done in (
+        minhash.near_duplicates(some, id="id"),
+        packing.pieces(some, WORD, id="id"),
+        tokens.prefix_counts(some, BYTE, id="id"),
+    ):
+        assert len(done.collect()) == 8
+        assert [r["n"] for r in probe.collect()] == [0] * 8
+
+
+def test_memory_passes_from_operator_to_operator(monkeypatch):
+    monkeypatch.setattr(common, "_held", {})
+    monkeypatch.setattr(common, "_owner", [""])
+    common.begun("a")
+    first = common.remembered("x", list)
+    common.begun("a")
+    assert common.remembered("x", list) is first
+    common.begun("b")
+    assert not common._held and common.remembered("x", list) is not first

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import threading
 import zlib
 from bisect import bisect_right
 
@@ -18,11 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import CACHE_ENTRIES, flat, in_arrow, places, raw, slices, stored
+from tracelane.llm.common import CACHE_ENTRIES, flat, in_arrow, places, raw, remembered, slices, stored
 from tracelane.llm.tokens import byte_letters
 
-_lock, _loaded = threading.Lock(), {}
-
 SLICE_BYTES = 4 << 20
 """Text that one pass over its distinct parts takes; a longer document makes a slice of its own."""
 
@@ -141,10 +138,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    with _lock:
-        if path not in _loaded:
-            _loaded[path] = WordEncoder(path)
-    return _loaded[path]
+    return remembered(f"WordEncoder {path}", lambda: WordEncoder(path))
 
 
 def _pieces(path: str, capacity: int, last: int):

@@ -10,7 +10,6 @@ ranks of each length go where; the pieces get their ranks in Spark and never pas
 from __future__ import annotations
 
 import json
-import threading
 import zlib
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import flat, in_arrow, places, raw, slices, stored
+from tracelane.llm.common import flat, in_arrow, places, raw, remembered, slices, stored
 
 SLICE_BYTES = 8 << 20
 """Text that one pass over its distinct parts takes; a longer document makes a slice of its own."""
@@ -155,14 +154,8 @@ class Encoder:
         return found
 
 
-_lock, _loaded = threading.Lock(), {}
-
-
 def encoder(path: str) -> Encoder:
-    with _lock:
-        if path not in _loaded:
-            _loaded[path] = Encoder(path)
-    return _loaded[path]
+    return remembered(f"Encoder {path}", lambda: Encoder(path))
 
 
 def _pieces(path: str, capacity: int, last: int):

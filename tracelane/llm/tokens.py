@@ -10,14 +10,13 @@ remembered; a document's table is the tables of its pre-tokens one after another
 from __future__ import annotations
 
 import json
-import threading
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import CACHE_ENTRIES, in_arrow, raw, slices
+from tracelane.llm.common import CACHE_ENTRIES, in_arrow, raw, remembered, slices
 
 PART_ENTRIES = 2 * CACHE_ENTRIES
 """Blank-led parts of texts that a worker remembers with their tables."""
@@ -175,14 +174,9 @@ class PrefixCounter:
 
 _space_after_space = regex.compile(r"\s (?=\S)| \s").search
 
-_lock, _loaded = threading.Lock(), {}
-
 
 def counter(path: str) -> PrefixCounter:
-    with _lock:
-        if path not in _loaded:
-            _loaded[path] = PrefixCounter(path)
-    return _loaded[path]
+    return remembered(f"PrefixCounter {path}", lambda: PrefixCounter(path))
 
 
 def count_at(steps: bytes, end: int) -> int:
