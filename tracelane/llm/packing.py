@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tracelane.llm.common import CACHE_ENTRIES, flat, in_arrow, places, raw, remembered, slices, stored
 from tracelane.llm.tokens import byte_letters
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 """Text that one pass over its distinct parts takes; a longer document makes a slice of its own."""
 
 _SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
